@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from layoutlint.llm.common import row_slices
 
-#: Entries of each word table of a Python worker; a full table is emptied and fills again.
-CACHE_WORDS = 400_000
+#: Entries of the tables of words and of pieces that a Python worker keeps, about 200 bytes each.
+CACHE_WORDS = 700_000
+CACHE_PIECES = 400_000
 _AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 _PIECES = re.compile(r"(?= \S)")
 
@@ -29,42 +30,38 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class MergeTable:
-    """Ranks with, for pairs of token ids, the id that they merge into."""
+    """For pairs of token ids the id that they merge into: that of their joint bytes, which is also the merge's rank."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.bytes_of: dict[int, bytes] = {i: b for b, i in ranks.items()}
         self.single = [ranks.get(bytes([b])) for b in range(256)]
         if None in self.single:
             raise ValueError("the ranks lack single bytes")
-        self._pairs: dict[tuple[int, int], int] = {}
-
-    def merged(self, a: int, b: int) -> int:
-        """Id of the two tokens' joint bytes, or -1."""
-        pair = (a, b)
-        found = self._pairs.get(pair)
-        if found is None:
-            found = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            self._pairs[pair] = found
-        return found
+        self.whole = ranks.get
+        self.merged: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    self.merged[a << 32 | b] = rank
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word.
+        """Token ids of each word. A word that is a token is done.
 
-        All words lie in one symbol list, linked to their neighbours. An inverted index holds, for each merge that is possible
+        All other words lie in one symbol list, linked to their neighbours. An inverted index holds, for each merge that is possible
         now, the positions where it is; a heap gives the merges by rank. Applying one touches only its positions and their
         neighbours, whose new pairs enter the index. Positions go from left to right. When a merge opens one of lower
         rank, that one comes first and the rest of the positions wait.
         """
-        single, merged = self.single, self.merged
+        single, merged = self.single, self.merged.get
         symbols: list[int] = []
         right: list[int] = []
         left: list[int] = []
         firsts = []
         for word in words:
-            at = len(symbols)
+            at, known = len(symbols), self.whole(word)
+            if known is not None:
+                firsts.append(-1 - known)
+                continue
             firsts.append(at)
             n = len(word)
             symbols.extend([single[b] for b in word])
@@ -76,9 +73,12 @@ class MergeTable:
         index: dict[int, list[int]] = {}
         for i, j in enumerate(right):
             if j >= 0:
-                m = merged(symbols[i], symbols[j])
-                if m >= 0:
-                    index.setdefault(m, []).append(i)
+                m = merged(symbols[i] << 32 | symbols[j])
+                if m is not None:
+                    if m in index:
+                        index[m].append(i)
+                    else:
+                        index[m] = [i]
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -89,7 +89,7 @@ class MergeTable:
             places.sort()
             for k, i in enumerate(places):
                 j = right[i]
-                if symbols[i] < 0 or j < 0 or merged(symbols[i], symbols[j]) != rank:
+                if j < 0 or symbols[i] < 0 or merged(symbols[i] << 32 | symbols[j]) != rank:
                     continue
                 symbols[i] = rank
                 symbols[j] = -1
@@ -98,8 +98,8 @@ class MergeTable:
                 lower = False
                 if after >= 0:
                     left[after] = i
-                    m = merged(rank, symbols[after])
-                    if m >= 0:
+                    m = merged(rank << 32 | symbols[after])
+                    if m is not None:
                         if m in index:
                             index[m].append(i)
                         else:
@@ -107,8 +107,8 @@ class MergeTable:
                             heapq.heappush(heap, m)
                         lower = m <= rank
                 if before >= 0:
-                    m = merged(symbols[before], rank)
-                    if m >= 0:
+                    m = merged(symbols[before] << 32 | rank)
+                    if m is not None:
                         if m in index:
                             index[m].append(before)
                         else:
@@ -126,6 +126,9 @@ class MergeTable:
                     break
         out = []
         for at, word in zip(firsts, words, strict=True):
+            if at < 0:
+                out.append([-1 - at])
+                continue
             ids, i = [], at if word else -1
             while i >= 0:
                 ids.append(symbols[i])
@@ -148,42 +151,49 @@ def pieces(text: str) -> tuple[str, list[str]]:
 
 
 class Encoder:
-    """Whole texts to little-endian ids; keeps the ids of words and pieces that were met, in bounded tables."""
+    """Whole texts to little-endian ids.
+
+    Words and pieces of text that were met keep their ids in tables of bounded size. Once those are full, what is new in a call is encoded for that call only, so frequent words, which come early, stay.
+    """
 
-    def __init__(self, encode_words, split_words, width: str = "<u4", limit: int = CACHE_WORDS):
-        self.encode_words, self.split_words, self.width, self.limit = encode_words, split_words, width, limit
+    def __init__(self, encode_words, split_words=None, width: str = "<u4", max_words: int = CACHE_WORDS, max_pieces: int = CACHE_PIECES):
+        self.encode_words, self.split_words, self.width = encode_words, split_words, width
+        self.max_words, self.max_pieces = max_words, max_pieces
         self.of_word: dict[str, bytes] = {}
         self.of_piece: dict[str, bytes] = {}
-        self.of_first: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], new: set[str], prefix: str) -> None:
-        if len(known) + len(new) > self.limit:
-            known.clear()
-        split = {x: self.split_words(prefix + x) for x in new}
-        missing = list(set(chain.from_iterable(split.values())) - self.of_word.keys())
-        if len(self.of_word) + len(missing) > self.limit:
-            self.of_word.clear()
-            missing = list(set(chain.from_iterable(split.values())))
-        for word, ids in zip(missing, self.encode_words(missing), strict=True):
-            self.of_word[word] = np.array(ids, self.width).tobytes()
+
+    def _learn(self, known: dict[str, bytes], limit: int, new: list[str], ids_of) -> list[str]:
+        """Adds what is new to ``known`` and returns what must leave it again."""
+        new = [x for x in new if x not in known]
+        full = len(known) + len(new) > limit
+        for x, ids in zip(new, ids_of(new), strict=True):
+            known[x] = ids
+        return new if full else []
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        return [np.array(ids, self.width).tobytes() for ids in self.encode_words(words)] if words else []
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        if self.split_words is None:
+            return self._words(texts)
+        split = [self.split_words(x) for x in texts]
+        leave = self._learn(self.of_word, self.max_words, list(set(chain.from_iterable(split))), self._words)
         get = self.of_word.__getitem__
-        for x, words in split.items():
-            known[x] = b"".join(map(get, words))
+        out = [b"".join(map(get, words)) for words in split]
+        for x in leave:
+            del self.of_word[x]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [pieces(x) for x in texts]
-        all_rest = set().union(*[rest for _, rest in parts])
-        new = all_rest - self.of_piece.keys()
-        if len(self.of_piece) + len(new) > self.limit:
-            new = all_rest
-        self._learn(self.of_piece, new, " ")
-        firsts = {first for first, _ in parts}
-        new = firsts - self.of_first.keys()
-        if len(self.of_first) + len(new) > self.limit:
-            new = firsts
-        self._learn(self.of_first, new, "")
-        get = self.of_piece.__getitem__
-        return [self.of_first[first] + b"".join(map(get, rest)) for first, rest in parts]
+        known = self.of_piece
+        leave = self._learn(known, self.max_pieces, list(set().union(*[rest for _, rest in parts])), lambda new: self._pieces([" " + x for x in new]))
+        get = known.__getitem__
+        firsts = self._pieces([first for first, _ in parts])
+        out = [first + b"".join(map(get, rest)) for first, (_, rest) in zip(firsts, parts, strict=True)]
+        for x in leave:
+            del known[x]
+        return out
 
 
 _encoders: dict = {}

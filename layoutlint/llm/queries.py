@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlint.llm import bpe, decontam, langid, line_dedup, minhash
+from layoutlint.llm import bpe, decontam, langid, line_dedup, minhash, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def sha256(text) -> F.Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_ids.write_ids(docs, tokenizer_file(spark, path), end_id=0)
+    kind = docs.schema["doc_id"].dataType
+    return token_ids.read_ids(docs, files).select(
+        F.col("key").cast(kind).alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
@@ -119,6 +128,7 @@ select n.doc_id, n.n as n_shingles, min(r) as component_id, n.doc_id = min(r) as
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_ids": op2_token_ids,
     "op3_language_id": op3_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
