@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlint.llm import bpe, decontam, langid, line_dedup, minhash, token_ids
+from layoutlint.llm import bpe, decontam, langid, line_dedup, minhash, quotes, sharding, token_counts, token_ids, winnowing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,15 @@ def sha256(text) -> F.Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32")
+    )
+    return sharding.shard(docs, ["doc_id", "text_crc32", "size"], 16, seed=1).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = token_ids.write_ids(docs, tokenizer_file(spark, path), end_id=0)
@@ -43,6 +52,26 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    """Counts of every whole text before and after three edits: a cut at a third, a word doubled in the middle, a sentence added at the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = tokenizer_file(spark, path)
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda a, b, put: F.struct(a.cast("long").alias("start"), b.cast("long").alias("stop"), put.alias("put"))
+    third, half = F.floor(n / 3), F.floor(n / 2)
+    edits = F.array(
+        edit(third, third + F.least(F.lit(20), n), F.lit("")),
+        edit(half, half, F.substring(F.coalesce("text", F.lit("")), half.cast("int") + 1, F.lit(12))),
+        edit(n, n, F.lit(" It ends here.")),
+    )
+    state = token_counts.count_tokens(docs.withColumn("edits", edits), ranks, public_tokenizers.PATTERN)
+    before = state.withColumns({"n_before": F.col("n_tokens"), "n_pretokens": F.col("n_encoded")})
+    after = token_counts.apply_edits(before, ranks, public_tokenizers.PATTERN)
+    return after.select(
+        "doc_id", F.col("n_before").alias("n_tokens"), "n_pretokens", F.col("n_tokens").alias("n_tokens_edited"), F.size("seg_tokens").cast("long").alias("n_pretokens_edited"), "n_encoded"
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs, min_chars=40, min_docs=5).select("doc_id", "n_lines", "n_dropped", sha256(F.col("text")).alias("kept_sha256"))
@@ -66,6 +95,21 @@ from m group by doc_id
 """
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    tail = F.floor(F.length("text") / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - tail), F.substring(F.col("next_text"), F.lit(1), tail))
+    own = lambda df: winnowing.fingerprints(df, hashes_col="own", positions_col="own_at")
+    docs = winnowing.with_next(docs, "doc_id", ["text"], derive=own).withColumn("edited", edited)
+    docs = winnowing.fingerprints(docs, "edited", hashes_col="new", positions_col="new_at")
+    return docs.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), sha256(F.col("edited")).alias("edited_sha256"),
+        winnowing.fingerprint_text(F.col("own")).alias("fingerprint"), winnowing.fingerprint_text(F.col("new")).alias("edited_fingerprint"),
+        winnowing.likeness(F.col("own"), F.col("new")).alias("near_edited"), winnowing.likeness(F.col("own"), F.col("next_own")).alias("near_next"),
+        F.size("own_at").alias("n_positions"),
+    )
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
@@ -97,6 +141,13 @@ from d left join hit on d.doc_id = hit.doc_id left join items on d.doc_id = item
 """
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return quotes.link_replies(messages).select(
+        "conv_id", "turn", "role", "parent_pos", "by", "root_pos", "depth", "seq", "quoted_lines", "quote_depth", "linked", "body"
+    )
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = tokenizer_file(spark, path)
@@ -128,10 +179,14 @@ select n.doc_id, n.n as n_shingles, min(r) as component_id, n.doc_id = min(r) as
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_token_ids": op2_token_ids,
     "op3_language_id": op3_language_id,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
+    "op6_winnowing": op6_winnowing,
     "op7_decontamination": op7_decontamination,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_bpe": op9_bpe,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
