@@ -102,9 +102,9 @@ def near_duplicates(
     3. Nodes that cannot have a link go: of a node with ``n`` shingles, ``c`` of which another candidate has,
        a link needs ``100 * c >= percent * n``, and one with a node of ``m`` shingles needs
        ``(100 + percent) * c >= percent * (n + m)``. This is exact and takes the place of comparing all of a group.
-    4. In each table all nodes are compared with the one that has the largest share of common shingles.
-    5. Where a table still holds several components, nodes outside its largest one are compared with those
-       of other components that step 3 leaves possible.
+    4. In each table all nodes are compared with its hub, the one that has the largest share of common shingles, and those outside of the
+       hub's component with the best among them.
+    5. Where a table still holds several components, :func:`_left_over` finds the pairs that can have a link.
 
     So no pair within a component is needed, and no link that a table shows is lost. Shingles are compared by
     64-bit hashes. Nulls in the text and texts without words have no set and no link: their component is their own id. Null ids are
@@ -146,24 +146,22 @@ def near_duplicates(
     )
     sizes = sets.groupBy("node").agg(F.first("n").alias("n")).withColumns({"a": F.xxhash64("node"), "b": F.xxhash64(F.lit(1), "node")})
     sizes = sizes.join(own, ["a", "b"], "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
-    sizes = materialize(sizes.where(f"100 * c >= {share} * n"), "sizes")
-    member = materialize(member.join(sizes, "node"), "members")
-
-    hubs = member.groupBy("tkey").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("s"), "node", "n", "c")).alias("hub"))
-    star = member.join(hubs, "tkey").select(
-        F.col("node").alias("u"), F.col("n").alias("un"), F.col("c").alias("uc"), F.col("hub.node").alias("v"), F.col("hub.n").alias("vn"), F.col("hub.c").alias("vc")
-    )
-    links = materialize(_confirmed(_possible(star.where("u <> v"), share), sets, share), "links")
+    sizes = sizes.where(f"100 * c >= {share} * n")
+    member = member.join(sizes, "node")
+    hubs = member.groupBy("tkey").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("s"), "node")).alias("hub")).select("tkey", F.col("hub.node").alias("hub"))
+    member = materialize(member.join(hubs, "tkey"), "members")
+    near_hub = materialize(_common(member.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), sets), "stars")
+    links = materialize(_similar(near_hub, share), "links")
     label = components(links)
-    placed = member.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per_root = placed.groupBy("tkey", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per_root.groupBy("tkey").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("main")).where("roots > 1")
-    open_rows = materialize(placed.join(mixed.select("tkey", F.col("main.root").alias("main")), "tkey"), "open")
-    out_rows = open_rows.where("root <> main")
-    rest = out_rows.alias("x").join(open_rows.alias("y"), F.expr("x.tkey = y.tkey and x.root <> y.root and (y.root = y.main or x.node < y.node)" + _fits("x.", "y.", share)))
-    rest = rest.selectExpr("x.node as u", "x.n as un", "x.c as uc", "y.node as v", "y.n as vn", "y.c as vc")
-    more = _confirmed(_possible(rest, share).join(star.select("u", "v").distinct(), ["u", "v"], "left_anti"), sets, share)
-    more = materialize(more, "links")
+    # the nodes outside of the hub's component try one of their own
+    outside = _placed(member, label).where("root <> main")
+    second = outside.groupBy("tkey").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("s"), "node", "n", "c", "root")).alias("h"))
+    second = outside.join(second, "tkey").where("root <> h.root" + _fits("", "h.", share)).select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct()
+    more = materialize(_similar(_common(second, sets), share), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        label = components(links)
+    more = materialize(_similar(_common(_left_over(_placed(member, label), near_hub, sets, share), sets), share), "links")
     if not more.isEmpty():
         label = components(links.unionByName(more))
 
@@ -181,6 +179,39 @@ def near_duplicates(
     )
 
 
+def _placed(member: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of tables that hold several components, with their root and the root of the table's hub."""
+    rows = member.join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hub = rows.where("node = hub").select("tkey", F.col("root").alias("main"))
+    open_tables = rows.groupBy("tkey").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tkey")
+    return materialize(rows.join(hub, "tkey").join(open_tables, "tkey", "left_semi"), "open")
+
+
+def _left_over(rows: DataFrame, near_hub: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The pairs of different components that can still be linked, exactly and without those of a whole group.
+
+    With ``a`` and ``b`` shingles in common with the hub, two nodes share at most ``min(a, b)`` of the hub's and, besides, what they
+    share of others. So either ``min(a, b)`` alone is enough for a link, which is rare since one of the two is not linked to the hub,
+    or they have a shingle in common that the hub has not, and an equi-join on those finds them.
+    """
+    to_hub = near_hub.select(F.col("u").alias("node"), F.col("v").alias("hub"), "i")
+    rows = rows.join(to_hub, ["node", "hub"], "left").withColumn("a", F.coalesce("i", "n")).drop("i")
+    rows = materialize(rows, "open")
+    sized = f"x.root <> y.root and x.node < y.node{_fits('x.', 'y.', share)}"
+    enough = f"{100 + share} * least(x.a, y.a) >= {share} * (x.n + y.n)"
+    close = rows.alias("x").join(rows.alias("y"), F.expr(f"x.tkey = y.tkey and {sized} and {enough}")).selectExpr("x.node as u", "y.node as v")
+    at_hub = rows.select("hub", "node", "n", "c", "root", "a").distinct()
+    own = at_hub.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hs")), "hub")
+    own = own.select("hub", "node", "n", "c", "root", "a", F.explode(F.array_except("shingles", "hs")).alias("s"))
+    own = materialize(own.join(own.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hub", "s"), ["hub", "s"], "left_semi"), "rare")
+    both = own.alias("x").join(own.alias("y"), F.expr(f"x.hub = y.hub and x.s = y.s and {sized}"))
+    both = both.groupBy("x.hub", F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(
+        F.count(F.lit(1)).alias("k"), F.max(F.least("x.a", "y.a")).alias("a"), F.max(F.col("x.n") + F.col("y.n")).alias("n")
+    )
+    both = both.where(f"{100 + share} * (a + k) >= {share} * n").select("u", "v")
+    return close.unionByName(both).distinct()
+
+
 def _fits(x: str, y: str, share: int) -> str:
     """That two nodes' sizes and common shingles allow a link."""
     return (
@@ -189,15 +220,12 @@ def _fits(x: str, y: str, share: int) -> str:
     )
 
 
-def _possible(pairs: DataFrame, share: int) -> DataFrame:
-    ok = f"100 * least(un, vn) >= {share} * greatest(un, vn) and {100 + share} * least(uc, vc) >= {share} * (un + vn)"
-    return pairs.where(ok).select("u", "v").distinct()
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with the sizes of their sets and of what these have in common."""
     u = sets.select(F.col("node").alias("u"), F.col("n").alias("un"), F.col("shingles").alias("us"))
     v = sets.select(F.col("node").alias("v"), F.col("n").alias("vn"), F.col("shingles").alias("vs"))
-    both = F.size(F.array_intersect("us", "vs")).cast("long")
-    sized = pairs.join(u, "u").join(v, "v").select("u", "v", "un", "vn", both.alias("i"))
-    return sized.where(F.expr(f"100 * i >= {share} * (un + vn - i)")).select("u", "v")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "un", "vn", F.size(F.array_intersect("us", "vs")).cast("long").alias("i"))
+
+
+def _similar(pairs: DataFrame, share: int) -> DataFrame:
+    return pairs.where(f"100 * i >= {share} * (un + vn - i)").select("u", "v")
