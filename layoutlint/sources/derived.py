@@ -7,6 +7,7 @@ table for each order; ``C…`` are a few fixed Chinese lines. All have running h
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SPARK = {
     "lines": "lateral view posexplode(split(text, '\\n', -1)) x as pos, line",
@@ -41,6 +42,7 @@ C1|2|text|3）亻部件不应单独出现
 C1|2|text|质量管理手册
 C1|2|text|产品检验记录表
 C1|2|text|四、检验
+C1|2|table|<table><tr><td>甲</td><td>乙</td></tr></table>
 C1|3|text|各部门应当按照规定保存全部记录【相关记录】
 C2|0|text|1.1 范围
 C2|0|text|1.2 引用文件
@@ -93,11 +95,13 @@ with pages as (
   union all
   select 'D' || source, page, 2, 2, {block("image", img_path="'img/' || " + s("page") + " || '.jpg'", image_caption=f"case when page % 2 = 0 then {arr(chr(39) + 'A picture' + chr(39))} end")} from pages where page % 9 = 4
   union all
+  select 'D' || source, page, 2, 3, {block("text", text="'1. ' || replace(text, chr(10), chr(10) || '2.1 ')")} from pages where page % 10 = 1
+  union all
   select 'D' || source, page, 3, 0, {block("page_number", text=s("page"))} from pages
   union all
   select doc, seq, 0, 0, {block("header", text="'Orders of nation'")} from numbered
   union all
-  select doc, seq, 1, 0, {block("text", text=s("chap") + " || '.' || " + s("sec") + " || ' Order block'", text_level="case when seq % 3 <> 1 then 2 end")} from numbered
+  select doc, seq, 1, 0, {block("text", text=s("chap") + " || '.' || " + s("sec") + " || ' Order block'", text_level="case when seq % 3 <> 1 then 2 end")} from numbered where seq % 8 not in (3, 6)
   union all
   select doc, seq, 1, 1, {block("text", text=s("chap") + " || '.' || " + s("sec") + " || '.1 Detail of it'")} from numbered where seq % 5 = 1
   union all
@@ -109,7 +113,7 @@ with pages as (
   union all
   select doc, seq, 4, 0, {block("page_number", text=s("seq + 1"))} from numbered
   union all
-  select c.doc, c.page, 1, c.k, c.type, c.text, {blank["text_level"]}, {d["none"]}, {blank["text"]}, {d["none"]}, {d["none"]}, {d["none"]}, {blank["text"]} from (values {chinese}) as c(doc, page, k, type, text)
+  select c.doc, c.page, 1, c.k, c.type, case when c.type <> 'table' then c.text end, {blank["text_level"]}, {d["none"]}, case when c.type = 'table' then c.text end, {d["none"]}, {d["none"]}, {d["none"]}, {blank["text"]} from (values {chinese}) as c(doc, page, k, type, text)
 )
 select doc_id, cast(row_number() over (partition by doc_id order by page_idx, k, pos) - 1 as bigint) as ord, cast(page_idx as bigint) as page_idx,
   {d["box"].format("100 * k + pos")} as bbox, {cols}
@@ -127,4 +131,5 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = items_sql(False)
     for name in ("documents", "orders", "customer", "lineitem"):
         sql = sql.replace(f"from {name} ", f"from {{{name}}} ").replace(f"from {name}\n", f"from {{{name}}}\n").replace(f"join {name} ", f"join {{{name}}} ")
-    return spark.sql(sql, **{n: read(n) for n in ("documents", "orders", "customer", "lineitem")})
+    rows = spark.sql(sql, **{n: read(n) for n in ("documents", "orders", "customer", "lineitem")})
+    return rows.withColumn("image_footnote", F.lit(None).cast("array<string>"))
