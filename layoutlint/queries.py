@@ -221,10 +221,15 @@ def merge_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def merge_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, decisions, suspects = _decided(spark, sf_dir, "split_list")
-    merged = ops.merge_list(items.withColumn("old_ord", F.col("ord")), decisions).items
-    hit = suspects.select("doc_id", F.col("ord").alias("old_ord"))
-    return merged.join(hit, ["doc_id", "old_ord"], "left_semi").select("doc_id", "old_ord", F.array_join("list_items", "|").alias("list_items"))
+    items, decisions, _ = _decided(spark, sf_dir, "split_list")
+    return _merged(items, ops.merge_list, decisions).select("doc_id", "old_ord", F.array_join("list_items", "|").alias("list_items"))
+
+
+def _merged(items: DataFrame, op, decisions: DataFrame) -> DataFrame:
+    """The blocks that took up another, with their former ``ord`` as ``old_ord``."""
+    done = op(items.withColumn("old_ord", F.col("ord")), decisions)
+    taken = decisions.join(done.rejected, ["doc_id", "ord"], "left_anti").select("doc_id", F.col("ord").alias("old_ord"))
+    return done.items.join(taken, ["doc_id", "old_ord"], "left_semi")
 
 
 _RA, _RB = o.rows_of("x.table_body"), o.rows_of("n1.table_body")
@@ -241,13 +246,8 @@ from two where len(ra) > 0 and len(rb) > 0 and not (ra[1] = rb[1] and len(rb) =
     ),
 )
 def merge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = derived.items(spark, sf_dir)
-    suspects = detect.split_table(detect.annotate(items))
-    decisions = suspects.select("doc_id", "ord", F.col("next_ord").alias("ord_b"))
-    # of a chain the odd links are merged in this round
-    taken = ops.unchained(decisions).select("doc_id", F.col("ord").alias("old_ord"))
-    merged = ops.merge_table(items.withColumn("old_ord", F.col("ord")), decisions).items
-    rows = merged.join(taken, ["doc_id", "old_ord"], "left_semi")
+    items, decisions, _ = _decided(spark, sf_dir, "split_table")
+    rows = _merged(items, ops.merge_table, decisions)
     return rows.select("doc_id", "old_ord", "table_body", F.coalesce(F.array_join("table_caption", "|"), F.lit("")).alias("table_caption"))
 
 

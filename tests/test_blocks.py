@@ -2,7 +2,6 @@
 
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from layoutlint.functions import numbering, text as t
@@ -65,33 +64,38 @@ def test_golden_refine(spark):
     assert texts(again) == texts(out) and second.isEmpty()
 
 
-@pytest.mark.parametrize(
-    "blocks,wanted",
-    [
-        ([{"text": "part one of it"}, {"text": "ends here.", "page_idx": 2}], []),
-        ([{"text": "- a list entry"}, {"text": "goes on.", "page_idx": 1}], []),
-        ([{"text": "it ends."}, {"text": "And begins.", "page_idx": 1}], []),
-        ([{"text": "half of it"}, {"type": "header", "text": "H"}, {"text": "the rest.", "page_idx": 1}], [(0, "cross_page_break")]),
-        ([{"text": "4.5 Before", "text_level": 2}, {"text": "4.6 Missed"}], [(1, "missed_heading")]),
-        ([{"text": "4.7 Missed"}, {"text": "Some text."}, {"text": "4.8 Behind", "text_level": 2}], [(0, "missed_heading")]),
-        ([{"text": "2.1 Parent"}, {"type": "header", "text": "H"}, {"text": "2.1.1 Child of it goes first."}], [(0, "missed_heading")]),
-        ([{"text": "3.1 Parent"}, {"text": "4.1 Other."}], []),
-        ([{"text": "2023 was a year", "text_level": 1}, {"text": "50% of all"}], []),
-        ([{"text": "1,5 is \\alpha{x}"}, {"text": "pay \\$5"}, {"text": "a <b>tag</b>"}, {"text": "<MB-ZZ-155 form>"}], [(0, "residual_markup"), (1, "residual_markup"), (2, "residual_markup")]),
-        ([{"type": "table", "img_path": ""}, {"type": "table", "table_caption": ["x"]}], [(0, "caption_issue"), (0, "empty_table")]),
-        ([{"type": "table", "table_body": TABLE, "table_caption": ["x"]}, {"type": "footer", "text": "f"}, {"type": "table", "table_body": TABLE, "table_caption": ["x"], "page_idx": 3}], [(0, "split_table")]),
-        ([{"type": "list", "list_items": ["a"]}, {"type": "list", "list_items": ["b"], "page_idx": 1}], [(0, "split_list")]),
-        ([{"type": "image", "image_caption": [" "]}, {"type": "chart"}], [(0, "caption_issue")]),
-        ([{"text": "继续说明上一页没有写完的内容。[相关文件]"}, {"text": "[相关文件]"}], [(0, "trailing_marker")]),
-        ([{"text": "质量管理的的基本要求。"}, {"text": "的的确确有效。"}, {"text": "3）亻单独。"}], [(0, "extra_char"), (2, "extra_char")]),
-        ([{"text": "产品检验记录表"}, {"text": "检验", "text_level": 1}, {"type": "table", "table_body": TABLE, "table_caption": ["x"]}], [(0, "separated_caption")]),
-        ([{"text": "4.5 Head", "text_level": 2}, {"type": "table", "table_body": TABLE, "table_caption": ["plain", "4.6 Next"]}], [(1, "caption_heading")]),
-        ([{"text": ("1. " + "x" * 700 + "\n") * 2}], [(0, "giant_block")]),
-        ([{"text": None}, {"type": "", "text": "x"}, {"text": ""}], []),
-    ],
-)
-def test_detectors(spark, blocks, wanted):
-    assert kinds(make(spark, *blocks)) == wanted
+CASES = [
+    ([{"text": "part one of it"}, {"text": "ends here.", "page_idx": 2}], []),
+    ([{"text": "- a list entry"}, {"text": "goes on.", "page_idx": 1}], []),
+    ([{"text": "it ends."}, {"text": "And begins.", "page_idx": 1}], []),
+    ([{"text": "half of it"}, {"type": "header", "text": "H"}, {"text": "the rest.", "page_idx": 1}], [(0, "cross_page_break")]),
+    ([{"text": "4.5 Before", "text_level": 2}, {"text": "4.6 Missed"}], [(1, "missed_heading")]),
+    ([{"text": "4.7 Missed"}, {"text": "Some text."}, {"text": "4.8 Behind", "text_level": 2}], [(0, "missed_heading")]),
+    ([{"text": "2.1 Parent"}, {"type": "header", "text": "H"}, {"text": "2.1.1 Child of it goes first."}], [(0, "missed_heading")]),
+    ([{"text": "3.1 Parent"}, {"text": "4.1 Other."}], []),
+    ([{"text": "2023 was a year", "text_level": 1}, {"text": "50% of all"}], []),
+    ([{"text": "1,5 is \\alpha{x}"}, {"text": "pay \\$5"}, {"text": "a <b>tag</b>"}, {"text": "<MB-ZZ-155 form>"}], [(0, "residual_markup"), (1, "residual_markup"), (2, "residual_markup")]),
+    ([{"type": "table", "img_path": ""}, {"type": "table", "table_caption": ["x"]}], [(0, "caption_issue"), (0, "empty_table")]),
+    ([{"type": "table", "table_body": TABLE, "table_caption": ["x"]}, {"type": "footer", "text": "f"}, {"type": "table", "table_body": TABLE, "table_caption": ["x"], "page_idx": 3}], [(0, "split_table")]),
+    ([{"type": "list", "list_items": ["a"]}, {"type": "list", "list_items": ["b"], "page_idx": 1}], [(0, "split_list")]),
+    ([{"type": "image", "image_caption": [" "]}, {"type": "chart"}], [(0, "caption_issue")]),
+    ([{"text": "继续说明上一页没有写完的内容。[相关文件]"}, {"text": "[相关文件]"}], [(0, "trailing_marker")]),
+    ([{"text": "质量管理的的基本要求。"}, {"text": "的的确确有效。"}, {"text": "3）亻单独。"}], [(0, "extra_char"), (2, "extra_char")]),
+    ([{"text": "产品检验记录表"}, {"text": "检验", "text_level": 1}, {"type": "table", "table_body": TABLE, "table_caption": ["x"]}], [(0, "separated_caption")]),
+    ([{"text": "4.5 Head", "text_level": 2}, {"type": "table", "table_body": TABLE, "table_caption": ["plain", "4.6 Next"]}], [(1, "caption_heading")]),
+    ([{"text": ("1. " + "x" * 700 + "\n") * 2}], [(0, "giant_block")]),
+    ([{"text": None}, {"type": "", "text": "x"}, {"text": ""}], []),
+
+]
+
+
+def test_detectors(spark):
+    """All cases at once, each a document of its own."""
+    rows = [{"doc_id": f"case {n}", "ord": k, "type": "text", "page_idx": 0} | b for n, (blocks, _) in enumerate(CASES) for k, b in enumerate(blocks)]
+    found = {f"case {n}": [] for n in range(len(CASES))}
+    for r in detect.detect(content_lists.items_from_rows(spark, rows)).collect():
+        found[r["doc_id"]].append((r["ord"], r["kind"]))
+    assert {k: sorted(v) for k, v in found.items()} == {f"case {n}": wanted for n, (_, wanted) in enumerate(CASES)}
 
 
 def test_artifacts(spark):
@@ -116,7 +120,7 @@ def test_rewrites(spark):
     assert ops.promote(items, decide(spark, {"ord": 1, "level": 2})).items.where("ord = 1").first()["text_level"] == 2
     assert texts(ops.split(items, decide(spark, {"ord": 1, "offset": 4})).items)[1:3] == ["two ", "parts here"]
     assert ops.split(items, decide(spark, {"ord": 1, "offset": 0})).rejected.count() == 1
-    for pattern, text in {"latex_dollar": "a A b \\$5 <b>c</b>", "latex_block": "a  b \\$5 <b>c</b>", "html_tag": "a $\\mathsf { A }$ b \\$5 c", "latex_command": "a $   A $ b \\$5 <b>c</b>", "escaped_dollar": "a $\\mathsf { A }$ b $5 <b>c</b>"}.items():
+    for pattern, text in {"latex_dollar": "a A b \\$5 <b>c</b>", "latex_block": "a  b \\$5 <b>c</b>", "html_tag": "a $\\mathsf { A }$ b \\$5 c", "latex_command": "a $  A $ b \\$5 <b>c</b>", "escaped_dollar": "a $\\mathsf { A }$ b $5 <b>c</b>"}.items():
         done = ops.strip(items, decide(spark, {"ord": 2, "pattern": pattern}))
         assert texts(done.items)[2] == text and not done.spans.isEmpty()
     assert ops.strip(items, decide(spark, {"ord": 1, "pattern": "html_tag"})).rejected.count() == 1

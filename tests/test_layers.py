@@ -70,7 +70,7 @@ def test_proposals(spark, words):
     proposals = spark.createDataFrame([("d", 0, 0, c, x, k) for k, (c, x) in enumerate(rows)], "doc_id string, ord long, row int, col int, new string, seq long")
     got = [(r["col"], r["new"], r["verdict"]) for r in garbled.judge_proposals(items, proposals, words).collect()]
     assert sorted(got) == sorted([(0, "质量管理", "ok"), (1, "13", "not_rewritable"), (2, "部间", "not_rewritable"), (3, "yes", "not_rewritable"), (9, "x", "no_cell"), (0, "质量官理", "duplicate"), (4, "<b>", "invalid"), (4, "产品检验", "ok")])
-    worse = proposals.where("seq = 5")
+    worse = proposals.where("seq = 5").withColumn("new", F.lit("质星官理"))
     assert garbled.judge_proposals(items, worse, words).first()["verdict"] == "no_gain"
 
 
@@ -104,8 +104,8 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     blocks = [{"type": "text", "text": "half a sentence that", "page_idx": 0}, {"type": "text", "text": "ends here.", "page_idx": 1}]
     (tmp_path / "in" / "a.json").write_text(json.dumps(blocks))
-    query = refine_stream.refine_stream(refine_stream.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
-    query.awaitTermination(120)
+    query = refine_stream.refine_stream(refine_stream.read_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"), mechanics=False, max_rounds=2)
+    query.awaitTermination()
     assert [r["text"] for r in spark.read.parquet(str(tmp_path / "out" / "items")).collect()] == ["half a sentence that ends here."]
     report = spark.read.parquet(str(tmp_path / "out" / "report")).select("op", F.col("n")).collect()
     assert [tuple(r) for r in report] == [("merge", 1)]
