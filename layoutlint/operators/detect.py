@@ -46,42 +46,47 @@ def annotate(items: DataFrame) -> DataFrame:
     )
 
 
-def _suspect(rows: DataFrame, kind: str, *, next_ord: Column | None = None, value: Column | None = None, detail: Column | None = None, has_op: bool = True) -> DataFrame:
+def _found(kind: str, *, next_ord: Column | None = None, value: Column | None = None, detail: Column | None = None, has_op: bool = True) -> Column:
     null = lambda c, k: (F.lit(None) if c is None else c).cast(k)
-    return rows.select(
-        "doc_id", "ord", F.lit(kind).alias("kind"), F.lit(has_op).alias("has_op"), null(next_ord, "long").alias("next_ord"),
-        null(value, "long").alias("value"), null(detail, "string").alias("detail"),
-    )
+    return F.struct(
+        F.lit(kind).alias("kind"), F.lit(has_op).alias("has_op"), null(next_ord, "long").alias("next_ord"), null(value, "long").alias("value"), null(detail, "string").alias("detail")
+    )
+
+
+def _suspect(rows: DataFrame, kind: str, **what) -> DataFrame:
+    return rows.select("doc_id", "ord", _found(kind, **what).alias("s")).select("doc_id", "ord", "s.*")
+
+
+def _text(plain: bool = False) -> Column:
+    """A text block that is not empty; with ``plain`` no heading."""
+    some = (F.col("type") == "text") & (F.col("text") != "")
+    return some & F.col("text_level").isNull() if plain else some
 
 
 def _reasons(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in pairs]))
 
 
-def pseudo_heading(a: DataFrame) -> DataFrame:
+def pseudo_heading() -> Column:
     """Headings that read like sentences."""
     s = F.col("text")
     long = t.non_ws_len(F.regexp_replace(s, t.LEADING_NUMBERING, "")) > t.HEADING_BODY_CHARS
-    rows = a.where("type = 'text' and text_level is not null and text <> ''").withColumn(
-        "why", _reasons((s.rlike(t.COMMA_SEMI), "comma"), (t.sentence_end(s), "sentence_end"), (long, "long"))
-    )
-    return _suspect(rows.where(F.size("why") > 0), "pseudo_heading", detail=F.array_join("why", ","))
+    why = F.array_join(_reasons((s.rlike(t.COMMA_SEMI), "comma"), (t.sentence_end(s), "sentence_end"), (long, "long")), ",")
+    return F.when(_text() & F.col("text_level").isNotNull() & (why != ""), _found("pseudo_heading", detail=why))
 
 
-def cross_page_break(a: DataFrame) -> DataFrame:
+def cross_page_break() -> Column:
     """A plain text without a sentence end, continued by a plain text on the next page."""
     s, n = F.col("text"), F.col("n1")
-    rows = a.where("type = 'text' and text_level is null and text <> ''").where(
-        (n["type"] == "text") & n["text_level"].isNull() & (n["text"] != "") & (n["page_idx"] == F.col("page_idx") + 1)
-        & ~t.sentence_end(s) & ~n["text"].rlike(t.HEADING_START) & ~s.rlike(t.BULLET_START) & ~n["text"].rlike(t.BULLET_START)
-    )
-    return _suspect(rows, "cross_page_break", next_ord=n["ord"])
+    here = _text(plain=True) & (n["page_idx"] == F.col("page_idx") + 1) & ~t.sentence_end(s) & ~s.rlike(t.BULLET_START)
+    there = (n["type"] == "text") & n["text_level"].isNull() & (n["text"] != "") & ~n["text"].rlike(t.HEADING_START) & ~n["text"].rlike(t.BULLET_START)
+    return F.when(here & there, _found("cross_page_break", next_ord=n["ord"]))
 
 
-def giant_block(a: DataFrame) -> DataFrame:
+def giant_block() -> Column:
     """Long texts with several numbered lines."""
-    rows = a.where("type = 'text'").where(t.non_ws_len(F.col("text")) > t.GIANT_CHARS).withColumn("hits", F.regexp_count("text", F.lit(t.GIANT_HEADING_HIT)))
-    return _suspect(rows.where("hits >= 2"), "giant_block", value=F.col("hits"))
+    hits = F.regexp_count("text", F.lit(t.GIANT_HEADING_HIT))
+    return F.when((F.col("type") == "text") & (F.length("text") > t.GIANT_CHARS) & (t.non_ws_len(F.col("text")) > t.GIANT_CHARS) & (hits >= 2), _found("giant_block", value=hits))
 
 
 def repeated_texts(items: DataFrame) -> DataFrame:
@@ -116,14 +121,14 @@ def page_artifact(a: DataFrame) -> DataFrame:
     return _suspect(rows.where("why is not null"), "page_artifact", value=F.when(F.col("why") == "repeated", F.col("seen")), detail=F.col("why"))
 
 
-def residual_markup(a: DataFrame) -> DataFrame:
+def residual_markup() -> Column:
     """Markdown links, LaTeX, escaped dollars and HTML tags in texts."""
     s = F.col("text")
     why = _reasons(
         (s.rlike(t.MD_LINK), "md_link"), (s.rlike(t.LATEX), "latex"), (~s.rlike(t.LATEX) & s.rlike(t.ESCAPED_DOLLAR), "escaped_dollar"), (s.rlike(t.HTML_TAG), "html_tag")
     )
-    rows = a.where("type = 'text' and text <> ''").withColumn("why", why).where(F.size("why") > 0)
-    return _suspect(rows, "residual_markup", detail=F.array_join("why", ","))
+    why = F.array_join(why, ",")
+    return F.when(_text() & (why != ""), _found("residual_markup", detail=why))
 
 
 def _group(num: Column) -> list[Column]:
@@ -155,19 +160,19 @@ def missed_heading(a: DataFrame) -> DataFrame:
     )
 
 
-def extra_char(a: DataFrame) -> DataFrame:
+def extra_char() -> Column:
     """Lone radicals and doubled function words; ``value`` is the first offset and ``detail`` has all."""
     guard = F.col("text").rlike(f"[{t.RADICALS}]|" + "|".join(c + c for c in t.DOUBLED))
-    rows = a.where("type = 'text' and text <> ''").where(guard).withColumn("at", t.extra_chars(F.col("text"))).where(F.size("at") > 0)
-    return _suspect(rows, "extra_char", value=F.get("at", F.lit(0)), detail=F.array_join(F.col("at").cast("array<string>"), ","))
+    at = t.extra_chars(F.col("text"))
+    return F.when(_text() & guard & (F.size(at) > 0), _found("extra_char", value=F.get(at, F.lit(0)), detail=F.array_join(at.cast("array<string>"), ",")))
 
 
-def trailing_marker(a: DataFrame) -> DataFrame:
+def trailing_marker() -> Column:
     """A section marker stuck to the end of a text; ``value`` is where to split."""
     s = F.col("text")
-    rows = a.where("type = 'text' and text_level is null").where(s.rlike(t.TRAILING_MARKER))
-    rows = rows.withColumn("at", F.length(s) - F.length(F.regexp_extract(s, t.TRAILING_MARKER, 0)))
-    return _suspect(rows.where(t.non_ws_len(F.substring(s, F.lit(1), F.col("at"))) >= t.MARKER_HEAD_CHARS), "trailing_marker", value=F.col("at"))
+    at = F.length(s) - F.length(F.regexp_extract(s, t.TRAILING_MARKER, 0))
+    head = t.non_ws_len(F.substring(s, F.lit(1), at)) >= t.MARKER_HEAD_CHARS
+    return F.when(_text(plain=True) & s.rlike(t.TRAILING_MARKER) & head, _found("trailing_marker", value=at))
 
 
 def _captions(a: DataFrame) -> DataFrame:
@@ -201,43 +206,55 @@ def caption_artifact(a: DataFrame) -> DataFrame:
     return _suspect(rows, "caption_artifact", value=F.col("entry"), detail=F.when(F.col("n").isNotNull(), "furniture").otherwise("repeated"))
 
 
-def separated_caption(a: DataFrame) -> DataFrame:
+def separated_caption() -> Column:
     """A caption-like text that a heading parts from its table."""
     h, b = F.col("n1"), F.col("n2")
-    rows = a.where("type = 'text' and text_level is null").where(t.caption_like(F.col("text")))
-    rows = rows.where((h["type"] == "text") & (h["text_level"].isNotNull() | h["candidate"]) & (b["type"] == "table") & ~b["husk"])
-    return _suspect(rows, "separated_caption", next_ord=h["ord"], value=b["ord"])
+    behind = (h["type"] == "text") & (h["text_level"].isNotNull() | h["candidate"]) & (b["type"] == "table") & ~b["husk"]
+    return F.when(_text(plain=True) & t.caption_like(F.col("text")) & behind, _found("separated_caption", next_ord=h["ord"], value=b["ord"]))
 
 
-def empty_table(a: DataFrame) -> DataFrame:
-    return _suspect(a.where("husk"), "empty_table", next_ord=F.col("p1.ord"), detail=F.col("p1.type"))
+def empty_table() -> Column:
+    return F.when(F.col("husk"), _found("empty_table", next_ord=F.col("p1.ord"), detail=F.col("p1.type")))
 
 
-def split_table(a: DataFrame) -> DataFrame:
+def split_table() -> Column:
     """Two tables with content on different pages and only furniture between."""
     n = F.col("n1")
-    rows = a.where("type = 'table' and not husk").where((n["type"] == "table") & (n["page_idx"] > F.col("page_idx")) & ~n["husk"])
-    return _suspect(rows, "split_table", next_ord=n["ord"], value=t.first_row_columns(F.col("table_body")))
+    ok = (F.col("type") == "table") & ~F.col("husk") & (n["type"] == "table") & (n["page_idx"] > F.col("page_idx")) & ~n["husk"]
+    return F.when(ok, _found("split_table", next_ord=n["ord"], value=t.first_row_columns(F.col("table_body"))))
 
 
-def split_list(a: DataFrame) -> DataFrame:
+def split_list() -> Column:
     n = F.col("n1")
-    return _suspect(a.where("type = 'list'").where((n["type"] == "list") & (n["page_idx"] > F.col("page_idx"))), "split_list", next_ord=n["ord"])
+    return F.when((F.col("type") == "list") & (n["type"] == "list") & (n["page_idx"] > F.col("page_idx")), _found("split_list", next_ord=n["ord"]))
 
 
-def caption_issue(a: DataFrame) -> DataFrame:
+def caption_issue() -> Column:
     """Tables and images without a caption; nothing repairs them."""
     caption = F.when(F.col("type") == "table", F.col("table_caption")).otherwise(F.col("image_caption"))
-    return _suspect(a.where("type in ('table', 'image')").where(t.blank_all(caption)), "caption_issue", has_op=False)
+    return F.when(F.col("type").isin("table", "image") & t.blank_all(caption), _found("caption_issue", has_op=False))
+
+
+#: Kinds that show in a block and its neighbours, and kinds that need counts or joins over the document.
+ROW_RULES = (
+    pseudo_heading, cross_page_break, giant_block, residual_markup, extra_char, trailing_marker, separated_caption, empty_table, split_table, split_list, caption_issue
+)
+JOINED = (page_artifact, missed_heading, caption_heading, caption_artifact)
+
+
+def by_rules(a: DataFrame, rules) -> DataFrame:
+    """All suspects of some row rules in one pass over the blocks."""
+    hits = F.array_compact(F.array(*[rule() for rule in rules]))
+    return a.select("doc_id", "ord", F.explode(hits).alias("s")).select("doc_id", "ord", "s.*")
 
 
-DETECTORS = {name: globals()[name] for name in KINDS}
+DETECTORS = {rule.__name__: (lambda a, rule=rule: by_rules(a, [rule])) for rule in ROW_RULES} | {f.__name__: f for f in JOINED}
 
 
-def detect(items: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """The suspects of all kinds. ``items`` has the columns of a content list, keyed by ``doc_id`` and ``ord``."""
-    a = annotate(items)
-    return reduce(DataFrame.unionByName, [DETECTORS[k](a) for k in kinds])
+def detect(items: DataFrame, *, annotated: DataFrame | None = None) -> DataFrame:
+    """The suspects of all kinds. ``items`` has the columns of a content list, keyed by ``doc_id`` and ``ord``; ``annotated`` may be given instead."""
+    a = annotate(items) if annotated is None else annotated
+    return reduce(DataFrame.unionByName, [by_rules(a, ROW_RULES), *[f(a) for f in JOINED]])
 
 
 def suspects_by_kind(items: DataFrame) -> DataFrame:

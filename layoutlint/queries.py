@@ -283,7 +283,7 @@ def drop_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading, table, caption instead of caption, heading, table where the three lie side by side."""
     items = derived.items(spark, sf_dir)
-    s = detect.separated_caption(detect.annotate(items))
+    s = detect.DETECTORS["separated_caption"](detect.annotate(items))
     return ops.reorder(items, s.select("doc_id", "ord", F.array("next_ord", "value", "ord").alias("ords"))).items.select("doc_id", "ord", "type", "text")
 
 
