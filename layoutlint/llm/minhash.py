@@ -204,7 +204,13 @@ def _left_over(rows: DataFrame, near_hub: DataFrame, sets: DataFrame, share: int
     own = at_hub.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hs")), "hub")
     own = own.select("hub", "node", "n", "c", "root", "a", F.explode(F.array_except("shingles", "hs")).alias("s"))
     own = materialize(own.join(own.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hub", "s"), ["hub", "s"], "left_semi"), "rare")
-    both = own.alias("x").join(own.alias("y"), F.expr(f"x.hub = y.hub and x.s = y.s and {sized}"))
+    # a node shares at most ``a`` of the hub's and its ``r`` others: too few even for the smallest partner, and it is out
+    least = at_hub.groupBy("hub").agg(F.min("n").alias("lo"))
+    fit = own.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("r"), F.first("n").alias("n"), F.first("a").alias("a")).join(least, "hub")
+    fit = fit.where(f"{100 + share} * (a + r) >= {share} * (n + lo)").select("hub", "node", "r")
+    own = own.join(fit, ["hub", "node"])
+    at_most = f"{100 + share} * (least(x.a, y.a) + least(x.r, y.r)) >= {share} * (x.n + y.n)"
+    both = own.alias("x").join(own.alias("y"), F.expr(f"x.hub = y.hub and x.s = y.s and {sized} and {at_most}"))
     both = both.groupBy("x.hub", F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(
         F.count(F.lit(1)).alias("k"), F.max(F.least("x.a", "y.a")).alias("a"), F.max(F.col("x.n") + F.col("y.n")).alias("n")
     )
