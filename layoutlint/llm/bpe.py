@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 from itertools import chain
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from layoutlint.llm.common import row_slices
 
 #: Entries of the tables of words and of pieces that a Python worker keeps, about 200 bytes each.
-CACHE_WORDS = 700_000
-CACHE_PIECES = 400_000
+CACHE_WORDS = 200_000
+CACHE_PIECES = 150_000
 _AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 _PIECES = re.compile(r"(?= \S)")
 
@@ -151,13 +152,13 @@ def pieces(text: str) -> tuple[str, list[str]]:
 
 
 class Encoder:
-    """Whole texts to little-endian ids.
+    """Whole texts to little-endian ids; ``encode_words`` gives the bytes of each word's ids.
 
     Words and pieces of text that were met keep their ids in tables of bounded size. Once those are full, what is new in a call is encoded for that call only, so frequent words, which come early, stay.
     """
 
-    def __init__(self, encode_words, split_words=None, width: str = "<u4", max_words: int = CACHE_WORDS, max_pieces: int = CACHE_PIECES):
-        self.encode_words, self.split_words, self.width = encode_words, split_words, width
+    def __init__(self, encode_words, split_words=None, max_words: int = CACHE_WORDS, max_pieces: int = CACHE_PIECES):
+        self.encode_words, self.split_words = encode_words, split_words
         self.max_words, self.max_pieces = max_words, max_pieces
         self.of_word: dict[str, bytes] = {}
         self.of_piece: dict[str, bytes] = {}
@@ -171,7 +172,7 @@ class Encoder:
         return new if full else []
 
     def _words(self, words: list[str]) -> list[bytes]:
-        return [np.array(ids, self.width).tobytes() for ids in self.encode_words(words)] if words else []
+        return self.encode_words(words) if words else []
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         if self.split_words is None:
@@ -209,10 +210,14 @@ def kept_encoder(key: str, make) -> Encoder:
 
 def _replay_encoder(ranks: bytes, pattern: str) -> Encoder:
     table = MergeTable(read_ranks(ranks))
-    return Encoder(lambda ws: table.replay([w.encode("utf-8", "surrogatepass") for w in ws]), regex.compile(pattern).findall)
 
+    def encode_words(words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in table.replay([w.encode("utf-8", "surrogatepass") for w in words])]
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", *, slice_bytes: int = 4 << 20) -> DataFrame:
+    return Encoder(encode_words, regex.compile(pattern).findall)
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", *, slice_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` with ``ids_col``: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
     ``ranks`` is the content of a rank file (a vocabulary, a few MB at most) and is broadcast. Each match of ``pattern`` is
@@ -237,7 +242,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
     return out.mapInArrow(run, schema)
 
 
-def decode(docs: DataFrame, ranks: bytes, ids_col: str = "ids", bytes_col: str = "decoded", *, slice_ids: int = 1 << 20) -> DataFrame:
+def decode(docs: DataFrame, ranks: bytes, ids_col: str = "ids", bytes_col: str = "decoded", *, slice_ids: int = 1 << 18) -> DataFrame:
     """``docs`` with ``bytes_col``: the bytes that the ids stand for. Null ids give no bytes; unknown ids are an error."""
     out = docs.drop(bytes_col)
     kept, schema = out.columns, out.withColumn(bytes_col, F.lit(b"")).schema
