@@ -40,21 +40,23 @@ def library_encoder(vocabulary: bytes, width: str) -> Encoder:
     for token, i in model.get_vocab().items():
         n_bytes[i] = len(token)
 
-    def encode_words(words: list[str]) -> list[np.ndarray]:
+    def encode_words(words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
         apart = [k for k, w in enumerate(words) if not (len(w) > 1 and w[0] == " " and not w[1].isspace())]
         for k, x in zip(apart, model.encode_batch_fast([words[k] for k in apart], add_special_tokens=False), strict=True):
-            out[k] = x.ids
+            out[k] = np.array(x.ids, width).tobytes()
         joint = [k for k, w in enumerate(words) if out[k] is None]
         for at in range(0, len(joint), 4096):
             some = joint[at : at + 4096]
-            ids = np.array(model.encode_batch_fast(["".join([words[k] for k in some])], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(words[k].encode()) for k in some])) + 1
-            for k, part in zip(some, np.split(ids, ends[:-1]), strict=True):
-                out[k] = part
+            ids = np.array(model.encode_batch_fast(["".join([words[k] for k in some])], add_special_tokens=False)[0].ids, width)
+            ends = (np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(words[k].encode()) for k in some])) + 1) * ids.itemsize
+            raw, start = ids.tobytes(), 0
+            for k, end in zip(some, ends.tolist(), strict=True):
+                out[k] = raw[start:end]
+                start = end
         return out
 
-    return Encoder(encode_words, width=width, max_pieces=CACHE_WORDS + CACHE_PIECES // 2)
+    return Encoder(encode_words, max_pieces=CACHE_WORDS + CACHE_PIECES // 2)
 
 
 @dataclass(frozen=True)
