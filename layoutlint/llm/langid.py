@@ -17,7 +17,7 @@ BITS = 16
 ORDERS = (1, 2, 3)
 #: The model holds ``2**BITS`` values for each language, so this bounds what is collected and broadcast.
 MAX_LANGUAGES = 64
-#: Expected number of labelled rows to learn from; more rows do not change a model of this size noticeably.
+#: About how many different texts of each language are learned from; more do not change a model of this size noticeably.
 MAX_TRAIN_DOCS = 20_000
 _CHARS = 1 << 18
 _letters: list[np.ndarray] = []
@@ -91,24 +91,28 @@ class Model:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_docs: int = MAX_TRAIN_DOCS, alpha: float = 0.1) -> Model:
-    """Fit on about ``max_docs`` rows with text and language, taken by a hash of the text, so that copies count alike.
+    """Fit on about ``max_docs`` different texts of each language, taken by a hash of the text; a language with fewer is learned whole.
 
-    Rows with null text or language are left out. Counts are summed per task, then by (language, bucket),
+    Copies of a text within a language count once, but all rows count for the prior. Rows with null text or language or without a letter
+    are left out, and so are languages that have no other rows. Counts are summed per task, then by (language, bucket),
     and at most ``MAX_LANGUAGES * 2**BITS`` sums reach the driver; more languages are an error.
     No usable row gives a model that answers ``und``.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+    rows = labelled.where(has_letter(F.col(text_col)) & F.col(lang_col).isNotNull()).select(
+        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("hash")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("hash").alias("texts")).limit(MAX_LANGUAGES + 1).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return Model((), np.zeros(0), np.zeros((2**BITS, 0)))
     total = sum(sizes.values())
-    if total > max_docs:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * max_docs / total))
-    # a language too rare to be in the sample is as rare in the text to classify; it keeps its prior
+    shares = [(r["lang"], int(1_000_000 * max_docs / r["texts"])) for r in found if r["texts"] > max_docs]
+    if shares:
+        share = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, share int"))
+        rows = rows.join(share, "lang", "left").where(F.col("share").isNull() | (F.pmod("hash", F.lit(1_000_000)) < F.col("share"))).drop("share")
+    rows = rows.dropDuplicates(["lang", "hash"]).select("text", "lang")
     languages = sorted(sizes)
     sums = (
         rows.mapInArrow(_counter, "lang string, bucket int, n long")

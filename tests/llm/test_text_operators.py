@@ -109,6 +109,22 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in nobody.collect()} == {"und"}
 
 
+def test_each_language_has_its_own_training_sample(spark):
+    rng = random.Random(8)
+    say = lambda letters, n: " ".join("".join(rng.choices(letters, k=4)) for _ in range(n))
+    rows = [(say("abcde", 9), "aa") for _ in range(600)] + [("edcba " * 50, "aa")] * 300 + [(say("vwxyz", 9), "zz") for _ in range(4)] + [("12 %", "none")] * 5
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    whole, part = langid.train(docs), langid.train(docs, max_docs=100)
+    assert whole.languages == part.languages == ("aa", "zz")
+    assert np.allclose(np.exp(part.prior), [900 / 904, 4 / 904])
+    counts = lambda texts: sum(np.bincount(ids, minlength=2**langid.BITS) for t in texts for ids in langid.gram_ids(t))
+    for k, x in enumerate(whole.languages):
+        want = counts({t for t, lang in rows if lang == x}) + 0.1
+        assert np.allclose(whole.log_prob[:, k], np.log(want / want.sum()))
+    assert np.array_equal(whole.log_prob[:, 1], part.log_prob[:, 1]) and not np.array_equal(whole.log_prob[:, 0], part.log_prob[:, 0])
+    assert part.predict([say("vwxyz", 5), say("abcde", 5), "edcba"])[0] == ["zz", "aa", "aa"]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 99), rng.randint(0, 99)) for _ in range(70)] + [(k, k + 1) for k in range(200, 260)]
