@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from layoutlint.functions import text as t
 from layoutlint.operators.garbled import HANZI
-from layoutlint.operators.mechanical import CELL
+from layoutlint.operators.mechanical import CELL, build_row
 
 # --- fixed values: classes of characters that are taken for one another ---
 CLASSES = ("0O", "1lI|", "5S", "8B", "2Z", "6G", "9gq", "入人λ", "竟竞", "末未", "己已巳", "土士", "日曰", "戊戌戍", "扞杆", "亭亨", "校较", "酒源", "军率")
 WHITELIST_COUNT, RIVAL_COUNT, RIVAL_FACTOR = 5, 3, 3
 VOTE_COUNT, VOTE_FACTOR = 4, 3
 ENTITY = r"&[^;&\s]{1,12};"
+#: What counts as one character, and with any tags before it in a cell, whose offsets leave tags out.
+UNIT = rf"(?s){ENTITY}|."
+TAGS = "(?:<[^>]*>)*+"
+CELL_UNIT = rf"(?s){TAGS}(?:&(?:{TAGS}[^;&\s]){{1,12}}{TAGS};|.)|<[^>]*>"
 
 
 def pairs(spark: SparkSession, extra: list[str] = ()) -> DataFrame:
@@ -113,7 +117,23 @@ def density_gate(proposals: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def apply_texts(items: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Items with the characters at the fixes' offsets replaced, in texts (``field`` 'text')."""
-    maps = fixes.where("field = 'text'").groupBy("doc_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct(F.col("offset").cast("int"), "after"))).alias("__put"))
-    put = F.array_join(F.transform(F.split("text", ""), lambda c, i: F.coalesce(F.try_element_at(F.col("__put"), i), c)), "")
-    return items.join(maps, ["doc_id", "ord"], "left").withColumn("text", F.when(F.col("__put").isNotNull(), put).otherwise(F.col("text"))).select(items.columns)
+    """Items with the characters at the fixes' places replaced, in all fields of :func:`units`; tags and all other characters stay."""
+    fields = ("text", "list_items", "table_caption", "table_body")
+    place = F.struct(F.concat_ws(":", F.col("part").cast("int"), F.col("offset").cast("int")), "after")
+    maps = fixes.groupBy("doc_id", "ord").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("field") == c, place))).alias(f"__{c}") for c in fields])
+
+    def put(field: str, s: Column, part: Column, unit: str = UNIT) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            after = F.try_element_at(F.col(f"__{field}"), F.concat_ws(":", part, i))
+            tags = F.regexp_extract(c, f"^{TAGS}", 0) if unit == CELL_UNIT else F.lit("")
+            return F.coalesce(F.concat(tags, after), c)
+
+        return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(unit), F.lit(0)), one), "")
+
+    many = lambda c: F.transform(c, lambda s, k: put(c, s, k))
+    group = lambda k: F.regexp_extract_all("table_body", F.lit(CELL), F.lit(k))
+    cells = F.transform(group(2), lambda s, k: put("table_body", s, k, CELL_UNIT))
+    body = build_row(F.struct(F.split("table_body", CELL).alias("between"), group(1).alias("open"), cells.alias("cells"), group(3).alias("close")))
+    new = {"text": put("text", F.col("text"), F.lit(0)), "list_items": many("list_items"), "table_caption": many("table_caption"), "table_body": body}
+    out = items.join(maps, ["doc_id", "ord"], "left")
+    return out.withColumns({c: F.when(F.size(f"__{c}") > 0, new[c]).otherwise(F.col(c)) for c in fields}).select(items.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layoutlint import oracles as o
-from layoutlint.operators import detect, gates, markdown, mechanical, ops, windows
+from layoutlint.operators import confusion, detect, gates, markdown, mechanical, ops, windows
 from layoutlint.plans import policy, refine
 from layoutlint.sources import derived
 
@@ -173,6 +173,9 @@ for _pattern, _put in (("md_link", r"\1"), ("latex_block", ""), ("latex_command"
     )(_strip(_pattern))
 
 
+query("strip_latex_dollar")(_strip("latex_dollar"))
+
+
 @query("delete_char", _digest_sql(" select a.doc_id, a.ord, text[:value] || text[value + 2:] as text from a join sus on a.doc_id = sus.doc_id and a.ord = sus.ord", "extra_char"))
 def delete_char(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, decisions, _ = _decided(spark, sf_dir, "extra_char")
@@ -379,6 +382,23 @@ def token_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mechanical.vote(mechanical.token_frequency(items))
 
 
+# ---- look-alike characters ----
+
+
+@query("confusion_votes")
+def confusion_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusion.token_votes(derived.items(spark, sf_dir))
+
+
+@query("confusion_fixes")
+def confusion_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks changed where the document's own bigrams speak for a look-alike and the density gate lets it pass."""
+    items = derived.items(spark, sf_dir)
+    found = confusion.candidates(items, confusion.pairs(spark)).where("rival is not null").withColumnRenamed("rival", "after")
+    taken = confusion.density_gate(found, items).where("ok")
+    return digest(confusion.apply_texts(items, taken).join(taken.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_semi"))
+
+
 # ---- gates ----
 
 _CHARS = f"select doc_id, unnest(string_split({o.bare('array_to_string(list_concat(list_concat([coalesce(text, chr(32))], coalesce(list_items, [])), coalesce(table_caption, [])), chr(32))')}, '')) as ch from "

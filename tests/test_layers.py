@@ -100,6 +100,21 @@ def test_density_and_application(spark):
     assert [r["text"] for r in out.orderBy("ord").collect()] == ["O123456789", "OOOO", None]
 
 
+def test_fixes_reach_all_fields(spark):
+    body = "<table>\n<tr><td>a</td><td><b>&amp;x</b>O<i>0</i>y<br></td></tr></table>"
+    items = make(
+        spark, {"text": "&nbsp;O0"}, {"type": "list", "list_items": ["O", None, "0O"]}, {"type": "table", "table_body": body, "table_caption": ["T", "B0O"]}, {"type": "table", "table_body": "<table>O</table>"}
+    )
+    rows = [(0, "text", 0, 1, "0"), (1, "list_items", 2, 0, "O"), (2, "table_caption", 1, 1, "O"), (2, "table_body", 1, 2, "0"), (2, "table_body", 1, 3, "O")]
+    fixes = spark.createDataFrame([("d", *r) for r in rows], "doc_id string, ord long, field string, part int, offset int, after string")
+    chars = {(r["ord"], r["field"], r["part"], r["offset"]): r["ch"] for r in confusion.characters(confusion.units(items)).collect()}
+    assert [chars[r[:4]] for r in rows] == ["O", "0", "0", "O", "0"]
+    out = confusion.apply_texts(items, fixes).orderBy("ord").collect()
+    assert out[0]["text"] == "&nbsp;00" and out[1]["list_items"] == ["O", None, "OO"] and out[2]["table_caption"] == ["T", "BOO"]
+    assert out[2]["table_body"] == "<table>\n<tr><td>a</td><td><b>&amp;x</b>0<i>O</i>y<br></td></tr></table>" and out[3]["table_body"] == "<table>O</table>"
+    assert confusion.apply_texts(items, fixes.limit(0)).orderBy("ord").collect() == items.orderBy("ord").collect()
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     blocks = [{"type": "text", "text": "half a sentence that", "page_idx": 0}, {"type": "text", "text": "ends here.", "page_idx": 1}]
