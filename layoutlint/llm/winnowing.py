@@ -1,4 +1,4 @@
-"""Document fingerprints by winnowing word k-grams, in DataFrame operations only."""
+"""Document fingerprints by winnowing character k-grams, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -7,42 +7,56 @@ from pyspark.sql import functions as F
 
 from layoutlint.llm.common import fresh, order_bounds, range_bucket
 
-#: Words in a gram, and grams in a window: any passage of GRAM + WINDOW - 1 words that two texts share gives a common fingerprint.
-GRAM = 3
-WINDOW = 6
+#: Characters in a gram, and grams in a window: any passage of GRAM + WINDOW - 1 characters that two texts share gives a common fingerprint.
+GRAM = 6
+WINDOW = 4
 _POSITIONS = (1 << 31) - 1
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _runs(values: Column, n: int, join) -> Column:
+    """``join`` over the ``n`` values from each place on, as far as there are any, by doubling; it may see a value twice."""
+
+    def longer(step: int):
+        return lambda x: F.transform(x, lambda v, i: join(v, F.get(x, i + step)))
+
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        values = _let(values, longer(step))
+        size += step
+    return values
+
+
 def _grams(text: Column, k: int) -> Column:
-    """Hashes of the runs of ``k`` words, 32 bits, each above its position counted down from the last possible one.
+    """Hashes of the runs of ``k`` characters, 32 bits, each above its position counted down from the last possible one.
 
     So the least of several is the one of the least hash and, among equal hashes, of the rightmost position.
     """
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    # a text of fewer than k words is one gram, also if it has none
-    filled = F.when(F.size(hashes) >= k, hashes).otherwise(F.array(F.xxhash64(F.array_join(words, " ")), *[F.lit(0).cast("long")] * (k - 1)))
-    return F.element_at(
-        F.transform(
-            F.array(filled),
+
+    def of(normal: Column) -> Column:
+        # a text of fewer than k characters is one gram, also if it has none
+        whole = F.array(F.xxhash64(normal), *[F.lit(0).cast("long")] * (k - 1))
+        filled = F.when(F.length(normal) >= k, F.transform(F.split(normal, ""), lambda c: F.xxhash64(c))).otherwise(whole)
+        return _let(
+            _runs(filled, k, lambda a, b: F.xxhash64(a, b)),
             lambda h: F.transform(
                 F.slice(h, 1, F.size(h) - (k - 1)),
-                lambda first, i: F.shiftleft(
-                    F.shiftrightunsigned(F.xxhash64(first, *[F.get(h, i + q) for q in range(1, k)]), 32), 31
-                ).bitwiseOR(F.lit(_POSITIONS) - i),
+                lambda v, i: F.shiftleft(F.shiftrightunsigned(v, 32), 31).bitwiseOR(F.lit(_POSITIONS) - i),
             ),
-        ),
-        1,
-    )
+        )
+
+    return _let(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), of)
 
 
 def _minima(grams: Column, w: int) -> Column:
     """The least value of each window of ``w`` grams, each once; fewer grams are one window."""
-    windows = F.transform(
-        F.slice(grams, 1, F.greatest(F.size(grams) - (w - 1), F.lit(1))),
-        lambda first, i: F.least(first, *[F.coalesce(F.get(grams, i + q), first) for q in range(1, w)]),
-    )
-    return F.array_distinct(windows)
+    least = _runs(grams, w, lambda a, b: F.least(a, b))
+    return F.array_distinct(F.slice(least, 1, F.greatest(F.size(grams) - (w - 1), F.lit(1))))
 
 
 def selected(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
@@ -56,7 +70,7 @@ def hashes(chosen: Column) -> Column:
 
 
 def positions(chosen: Column) -> Column:
-    """Word positions of selected grams."""
+    """Positions of selected grams in the normalised text."""
     return F.transform(chosen, lambda v: (F.lit(_POSITIONS) - v.bitwiseAND(F.lit(_POSITIONS))).cast("int"))
 
 
@@ -72,13 +86,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", *, k: int = GRAM, w: int = WINDOW, hashes_col: str = "fingerprint", positions_col: str = "positions") -> DataFrame:
-    """``docs`` with the distinct hashes of the selected grams and the word positions of all selected grams.
+    """``docs`` with the distinct hashes of the selected grams and the positions of all selected grams.
 
-    Words are the runs between white space, lower-cased. Each window of ``w`` successive grams of ``k`` words
-    selects its least hash, the rightmost of equal ones; so texts that share ``w + k - 1`` words in a row share a
-    hash. The fingerprint is never empty: a text of fewer than ``k`` words, none included, is one gram. Null
-    text counts as empty. Equal texts have equal fingerprints. Columns named like the added ones are
-    replaced; an empty table gives an empty result; nothing shuffles.
+    Texts are lower-cased, with one blank for each run of white space and none at the ends; so text without blanks, in any script, is
+    treated like other text. Each window of ``w`` successive grams of ``k`` characters selects its least hash, the rightmost of equal
+    ones; so texts that share ``w + k - 1`` characters in a row share a hash. The fingerprint is never empty: a text of fewer than ``k``
+    characters, none included, is one gram, and one of fewer than ``w + k`` keeps one hash. Null text counts as empty. Equal texts have
+    equal fingerprints. Columns named like the added ones are replaced; an empty table gives an empty result; nothing shuffles.
     """
     base = docs.drop(*[c for c in docs.columns if c.lower() in (hashes_col.lower(), positions_col.lower())])
     (chosen,) = fresh(base, "chosen_grams")
@@ -114,6 +128,8 @@ def with_next(
     rows = ranged.unionByName(sentinel, allowMissingColumns=True)
     added: list[str] = []
     if derive:
+        # dealt out before, so that derived columns do not go through the shuffle
+        rows = rows.repartition(part)
         before, rows = rows.columns, derive(rows)
         added = [c for c in rows.columns if c not in before]
     order = f"over (partition by {part} order by {end}, `{key_col}` nulls first, {tie})"

@@ -264,6 +264,22 @@ def test_shared_passages_share_a_fingerprint(spark):
         assert a & b
 
 
+def test_fingerprints_of_unspaced_and_short_texts(spark):
+    rng = random.Random(9)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(200))
+    texts = [chinese, "กขคงจฉชซฌญฎฏฐฑฒณดต", "".join(rng.choices("0123456789abcdef", k=500)), "four words are enough", "Use port 8080"]
+    rows = [(t, t[: len(t) - len(t) // 4] + "#" * (len(t) // 4)) for t in texts]
+    docs = winnowing.fingerprints(spark.createDataFrame(rows, "a string, b string"), "a", hashes_col="x", positions_col="p")
+    out = winnowing.fingerprints(docs, "b", hashes_col="y", positions_col="q").withColumn("near", winnowing.likeness(F.col("x"), F.col("y"))).collect()
+    assert all(len(r["x"]) > 1 and r["near"] > 0 for r in out)
+    assert out[0]["near"] > 0.5 and len(out[0]["x"]) > 30
+    # grams are told apart by all of their characters
+    text = "abcdefg abcdefg abcdefh"
+    grams = [text[i : i + winnowing.GRAM] for i in range(len(text) - winnowing.GRAM + 1)]
+    hashes = [g >> 31 for g in spark.range(1).select(winnowing._grams(F.lit(text), winnowing.GRAM).alias("g")).first()["g"]]
+    assert [hashes.index(h) for h in hashes] == [grams.index(g) for g in grams]
+
+
 @pytest.mark.parametrize("parts", [2, 5, 50])
 def test_next_row(spark, parts):
     keys = [*range(0, 90, 3), None]
