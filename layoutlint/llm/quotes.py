@@ -9,7 +9,7 @@ from layoutlint.llm.common import materialize
 
 #: Positions in a chunk of a conversation; no task needs more of one conversation at a time.
 CHUNK = 1024
-#: Shorter passages and lines ("Yes.", "Thank you!") prove nothing.
+#: Shorter passages and lines ("Yes.", "Thank you!") only decide where a message quotes nothing longer that is known.
 MIN_CHARS = 16
 #: One or more ``>``, each with blanks before it, and one blank after the last.
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
@@ -52,7 +52,7 @@ def body(parsed: Column) -> Column:
 
 
 def units(parsed: Column, scope: list[str], min_chars: int) -> Column:
-    """Level and two hashes of each passage and each line of at least ``min_chars`` characters, in normal form.
+    """Level and two hashes of each passage and each line that is not blank, in normal form, and whether it has ``min_chars`` characters.
 
     A passage is a run of lines of the same level without a blank one between; so a quote that was wrapped anew is still the same passage.
     """
@@ -68,10 +68,14 @@ def units(parsed: Column, scope: list[str], min_chars: int) -> Column:
     )
     passages = F.transform(F.split(F.array_join(pieces, ""), "\x01"), lambda x: F.struct(F.substring_index(x, "\x02", 1).alias("level"), normal(F.substring_index(x, "\x02", -1)).alias("t")))
     lines = F.transform(parsed, lambda p: F.struct(p["level"].cast("string").alias("level"), normal(p["line"]).alias("t")))
-    long = F.filter(F.concat(passages, lines), lambda u: F.length(u["t"]) >= min_chars)
+    filled = F.filter(F.concat(passages, lines), lambda u: u["t"] != "")
     keys = [F.col(c) for c in scope]
     hashed = F.transform(
-        long, lambda u: F.struct(u["level"].cast("int").alias("level"), F.xxhash64(*keys, u["t"]).alias("a"), F.xxhash64(F.lit(1), *keys, u["t"]).alias("b"))
+        filled,
+        lambda u: F.struct(
+            u["level"].cast("int").alias("level"), F.xxhash64(*keys, u["t"]).alias("a"), F.xxhash64(F.lit(1), *keys, u["t"]).alias("b"),
+            (F.length(u["t"]) >= min_chars).alias("long"),
+        ),
     )
     return F.array_distinct(hashed)
 
@@ -105,7 +109,8 @@ def link_replies(
     Nested quote levels are parsed line by line. Quoted passages and lines are hashed in normal form and joined
     to the latest earlier message of the same scope that has the same unit unquoted. The parent is the message
     with most of the units of level 1, the latest of equal ones; deeper levels quote the parent's own
-    ancestors and only count as linked. A message that quotes nothing known follows, with ``follow``, the message before it.
+    ancestors and only count as linked. Units of fewer than ``min_chars`` characters only decide where no longer one of the message is
+    found at level 1. A message that quotes nothing known follows, with ``follow``, the message before it.
     ``root_pos`` is the first message of its tree, and ``seq`` numbers a tree's messages by position; parents are always
     earlier, so that is an order of replies. ``body`` has neither quotes nor the lines that introduce them.
 
@@ -120,10 +125,12 @@ def link_replies(
     unit = read.select("s", "p", F.explode(units(F.col("lines"), ["s"], min_chars)).alias("u")).select("s", "p", "u.*").where("p is not null")
     quoted = unit.where("level > 0").distinct()
     own = unit.where("level = 0").select("s", "p", "a", "b").distinct().join(quoted.select("a", "b").distinct(), ["a", "b"], "left_semi")
-    marks = own.withColumn("level", F.lit(0)).unionByName(quoted)
+    marks = own.withColumns({"level": F.lit(0), "long": F.lit(False)}).unionByName(quoted)
     found = _latest_before(marks, ["a", "b"], "p", F.col("level") == 0, "src").where("level > 0 and src is not null")
-    votes = found.where("level = 1").groupBy("s", "p", "src").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("s", "p").agg(F.max(F.struct("n", "src")).alias("v")).select("s", "p", F.col("v.src").alias("parent"))
+    votes = found.where("level = 1").groupBy("s", "p", "src").agg(F.count(F.when(F.col("long"), 1)).alias("n"), F.count(F.lit(1)).alias("short"))
+    # where any source has longer units, those with none of them are out of question, and short units count for nothing
+    votes = votes.withColumn("short", F.when(F.col("n") == 0, F.col("short")).otherwise(0))
+    best = votes.groupBy("s", "p").agg(F.max(F.struct("n", "short", "src")).alias("v")).select("s", "p", F.col("v.src").alias("parent"))
     linked = found.select("s", "p", "level", "a", "b").distinct().groupBy("s", "p").agg(F.count(F.lit(1)).alias("linked"))
 
     nodes = read.where("p is not null").select("s", "p").distinct()

@@ -315,6 +315,16 @@ def test_quotes(spark):
     assert quotes.link_replies(spark.createDataFrame([], "conv_id string, turn int, text string")).count() == 0
 
 
+def test_short_quotes_decide_where_nothing_longer_does(spark):
+    long = "A question that is longer than the least length."
+    rows = [
+        "Use port 8080", "端口应该是八零八零", long, "Anything else?", "> Use port 8080\nThat works.", "> 端口应该是八零八零\n好的", f"> {long}\n> Use port 8080\n\n> Anything else?\nNo.", "> \n>\nempty", "> unknown\nhm",
+    ]
+    out = {r["turn"]: r for r in quotes.link_replies(spark.createDataFrame([(1, k, t) for k, t in enumerate(rows)], "conv_id long, turn long, text string")).collect()}
+    assert [(out[k]["parent_pos"], out[k]["by"]) for k in range(4, 9)] == [(0, "quote"), (1, "quote"), (2, "quote"), (6, "order"), (7, "order")]
+    assert [out[k]["linked"] for k in range(4, 9)] == [1, 1, 3, 0, 0]
+
+
 def test_long_reply_chain_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(quotes, "CHUNK", 4)
     rows = [(1, k, f"> This is the message number {k - 1}, long enough.\nThis is the message number {k}, long enough.") for k in range(40)]
