@@ -13,7 +13,8 @@ from layoutlint.llm import bpe, decontam, langid, line_dedup, minhash
 from layoutlint.llm.common import materialize
 from layoutlint.llm.queries import table, tokenizer_file
 
-#: A document goes if its language is not known at all (no letter) or no language has this probability.
+#: A document goes if its language is not known at all (no letter) or no language has this probability; without any labelled document to
+#: learn from, only if it has no letter.
 MIN_LANGUAGE_SCORE = 0.5
 
 
@@ -21,6 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; their ``lang`` stays as it is, since it may be a better source than the prediction."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     model = langid.train(docs.where(fold != 0))
+    if not model.languages:
+        return docs.where(langid.has_letter(F.col("text")))
     found = langid.identify(docs, model)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 

@@ -46,3 +46,9 @@ def test_every_stage_but_the_last_keeps_the_columns(spark, corpus):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, corpus[0])
         assert docs.dtypes == [tuple(c.split()) for c in COLUMNS.replace("long", "bigint").split(", ")]
+
+
+def test_unlabelled_documents_stay(spark):
+    rows = [(1, "some text", None, "s", 9), (2, "12 %", None, "s", 4), (3, None, None, "s", 0), (4, "里", None, "s", 1)]
+    out = corpus_pipeline.language(spark, spark.createDataFrame(rows, COLUMNS), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 4] and out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
