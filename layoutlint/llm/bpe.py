@@ -1,4 +1,4 @@
-"""Byte-level BPE: encoding by merge replay over the distinct words of a stretch of corpus, and decoding."""
+"""Byte-level BPE: encoding by merge replay over the distinct words of the corpus, and decoding."""
 
 from __future__ import annotations
 
@@ -16,11 +16,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from layoutlint.llm.common import row_slices
-
-#: Entries of the tables of words and of pieces that a Python worker keeps, about 200 bytes each.
-CACHE_WORDS = 200_000
-CACHE_PIECES = 150_000
+from layoutlint.llm.common import kept, release, row_slices
+
+#: The words that all tasks share: at most so many, each of at most so many bytes, so 8 MB of words and 32 MB of ids at the very most.
+HEAD_WORDS = 200_000
+HEAD_WORD_BYTES = 40
+#: Bytes of the table of text pieces that a task keeps, with about 150 for each entry's objects.
+CACHE_BYTES = 24 << 20
+_ENTRY_BYTES = 150
+#: Distinct pieces of text whose words a task reports at a time, when words are counted.
+_REPORT_PIECES = 200_000
+#: Texts are cut into parts of about this many characters.
+_PART_CHARS = 1 << 20
+#: Words of more bytes than this are replayed by a list and a heap; at most so many others at once.
+_SHORT = 200
+_TOGETHER = 50_000
+_NEVER, _PLACE = np.int64(1 << 30), np.int64((1 << 32) - 1)
 _AMBIGUOUS = re.compile(r" (?:\s|\Z)")
 _PIECES = re.compile(r"(?= \S)")
 
@@ -30,6 +41,11 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line.strip())}
 
 
+def _distinct(places: np.ndarray) -> np.ndarray:
+    places = np.sort(places, kind="stable")
+    return places[np.concatenate([[True], places[1:] != places[:-1]])]
+
+
 class MergeTable:
     """For pairs of token ids the id that they merge into: that of their joint bytes, which is also the merge's rank."""
 
@@ -44,6 +60,127 @@ class MergeTable:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     self.merged[a << 32 | b] = rank
+        keys = np.fromiter(self.merged, np.int64, len(self.merged))
+        ranks_of = np.fromiter(self.merged.values(), np.int64, len(self.merged))
+        # the same pairs for arrays: a hash table with linear probing, at most a quarter full
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs, self.pair_ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NEVER, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.pairs[at] < 0
+            self.pairs[at[free]] = keys[free]
+            stays = self.pairs[at] == keys
+            self.pair_ranks[at[stays]] = ranks_of[stays]
+            keys, ranks_of, at = keys[~stays], ranks_of[~stays], (at[~stays] + 1) & self.mask
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair's merge, or ``_NEVER``."""
+        pairs = a << 32 | b
+        at = self._slot(pairs)
+        met = self.pairs[at]
+        out = np.where(met == pairs, self.pair_ranks[at], _NEVER)
+        left = np.flatnonzero((met != pairs) & (met >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            met = self.pairs[at[left]]
+            same = met == pairs[left]
+            out[left[same]] = self.pair_ranks[at[left[same]]]
+            left = left[~same & (met >= 0)]
+        return out
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of each word as little-endian 32-bit integers. Words of up to ``_SHORT`` bytes are replayed together, longer ones by :meth:`replay`."""
+        coded = [w.encode("utf-8", "surrogatepass") for w in words]
+        whole = [self.whole(w) for w in coded]
+        out = [b"" if k is None else k.to_bytes(4, "little") for k in whole]
+        left = [k for k, w in enumerate(coded) if whole[k] is None and w]
+        short = [k for k in left if len(coded[k]) <= _SHORT]
+        long = [k for k in left if len(coded[k]) > _SHORT]
+        for k, ids in zip(long, self.replay([coded[k] for k in long]), strict=True):
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        for at in range(0, len(short), _TOGETHER):
+            some = short[at : at + _TOGETHER]
+            for k, ids in zip(some, self._replay_together([coded[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def _replay_together(self, words: list[bytes]) -> list[bytes]:
+        """The merges in rank order over all words at once.
+
+        The symbols of all words are linked to their neighbours in arrays. The inverted index has, for each pair that can merge, the
+        positions where it stands, in blocks of ranks; blocks come in order. In a block each word that has pairs of it applies its merge of the
+        lowest rank, the leftmost of equal ones, all words in one array operation, until none is left. A merge changes
+        its two neighbours only, whose new pairs go to the index, or into the block at hand if their rank is not behind it.
+        """
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.cumsum(sizes) - sizes
+        symbol = np.array(self.single, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        n = len(symbol)
+        word = np.repeat(np.arange(len(words)), sizes)
+        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        right[first + sizes - 1] = -1
+        left[first] = -1
+        rank = np.full(n, _NEVER)
+        some = np.flatnonzero(right >= 0)
+        rank[some] = self._ranks_of(symbol[some], symbol[some + 1])
+        index: dict[int, list[np.ndarray]] = {}
+
+        def enter(places: np.ndarray) -> None:
+            block = np.sqrt(rank[places]).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            block, places = block[order], places[order]
+            cuts = np.flatnonzero(np.diff(block)) + 1
+            for b, part in zip(block[np.concatenate([[0], cuts])].tolist(), np.split(places, cuts), strict=True):
+                if b not in index:
+                    index[b] = []
+                    heapq.heappush(heap, b)
+                index[b].append(part)
+
+        heap: list[int] = []
+        some = some[rank[some] < _NEVER]
+        if len(some):
+            enter(some)
+        while heap:
+            block = heapq.heappop(heap)
+            end = (block + 1) ** 2
+            places = _distinct(np.concatenate(index.pop(block)))
+            while True:
+                places = places[rank[places] < end]
+                if not len(places):
+                    break
+                own = word[places]
+                starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                # of each word the lowest rank, and of equal ones the leftmost
+                at = np.minimum.reduceat(rank[places] << 32 | places, starts) & _PLACE
+                gone = right[at]
+                behind = right[gone]
+                before = left[at]
+                symbol[at] = rank[at]
+                symbol[gone] = -1
+                rank[gone] = _NEVER
+                right[at] = behind
+                has, had = behind >= 0, before >= 0
+                at_has, behind, before, at_had = at[has], behind[has], before[had], at[had]
+                left[behind] = at_has
+                rank[at] = _NEVER
+                found = self._ranks_of(np.concatenate([symbol[at_has], symbol[before]]), np.concatenate([symbol[behind], symbol[at_had]]))
+                rank[at_has] = found[: len(at_has)]
+                rank[before] = found[len(at_has) :]
+                changed = np.concatenate([at_has, before])
+                late = changed[(found >= end) & (found < _NEVER)]
+                if len(late):
+                    enter(late)
+                early = before[found[len(at_has) :] < end]
+                if len(early):
+                    places = _distinct(np.concatenate([places, early]))
+        alive = symbol >= 0
+        ends = (np.cumsum(np.add.reduceat(alive.astype(np.int64), first)) * 4).tolist()
+        raw = symbol[alive].astype("<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Token ids of each word. A word that is a token is done.
@@ -151,114 +288,196 @@ def pieces(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
-class Encoder:
-    """Whole texts to little-endian ids; ``encode_words`` gives the bytes of each word's ids.
-
-    Words and pieces of text that were met keep their ids in tables of bounded size. Once those are full, what is new in a call is encoded for that call only, so frequent words, which come early, stay.
-    """
+def parts(text: str) -> Iterator[str]:
+    """A very long text in parts that can be encoded by themselves, cut where :func:`pieces` can cut."""
+    at = 0
+    while len(text) - at > 2 * _PART_CHARS:
+        cut = _PIECES.search(text, at + _PART_CHARS)
+        if cut is None or cut.start() >= len(text):
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
-    def __init__(self, encode_words, split_words=None, max_words: int = CACHE_WORDS, max_pieces: int = CACHE_PIECES):
-        self.encode_words, self.split_words = encode_words, split_words
-        self.max_words, self.max_pieces = max_words, max_pieces
-        self.of_word: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
 
-    def _learn(self, known: dict[str, bytes], limit: int, new: list[str], ids_of) -> list[str]:
-        """Adds what is new to ``known`` and returns what must leave it again."""
-        new = [x for x in new if x not in known]
-        full = len(known) + len(new) > limit
-        for x, ids in zip(new, ids_of(new), strict=True):
-            known[x] = ids
-        return new if full else []
+class Encoder:
+    """Whole texts to little-endian ids; ``encode_words`` gives the bytes of each word's ids, ``split_words`` the words of a piece.
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        return self.encode_words(words) if words else []
+    ``head`` has the ids of the words that the whole corpus shares. Other pieces of text stay in the table when they come
+    again before it is full, and go otherwise, so that the table has what is frequent and its bytes are bounded.
+    """
 
-    def _pieces(self, texts: list[str]) -> list[bytes]:
+    def __init__(self, encode_words, split_words=None, head: dict[str, bytes] | None = None, max_bytes: int = CACHE_BYTES):
+        self.encode_words, self.split_words, self.max_bytes = encode_words, split_words, max_bytes
+        head = head or {}
+        self.of_word = {w: ids for w, ids in head.items() if w[:1] != " "}
+        self.of_piece = {w[1:]: ids for w, ids in head.items() if w[:1] == " "}
+        self.young: set[str] = set()
+        self.used = 0
+
+    def _ids(self, new: list[str]) -> list[bytes]:
+        """The ids of pieces of text that are not in the table."""
+        if not new:
+            return []
         if self.split_words is None:
-            return self._words(texts)
-        split = [self.split_words(x) for x in texts]
-        leave = self._learn(self.of_word, self.max_words, list(set(chain.from_iterable(split))), self._words)
-        get = self.of_word.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for x in leave:
-            del self.of_word[x]
-        return out
+            return self.encode_words(new)
+        split = [self.split_words(x) for x in new]
+        ids: dict[str, bytes] = {}
+        tail = []
+        for w in set(chain.from_iterable(split)):
+            known = self.of_piece.get(w[1:]) if w[0] == " " else self.of_word.get(w)
+            if known is None:
+                tail.append(w)
+            else:
+                ids[w] = known
+        ids.update(zip(tail, self.encode_words(tail), strict=True))
+        get = ids.__getitem__
+        return [b"".join(map(get, words)) for words in split]
+
+    def _learn(self, found: set[str]) -> None:
+        """Adds the pieces that are not known; those met before while young are no longer so."""
+        known = self.of_piece
+        new = list(found.difference(known))
+        self.young -= found
+        if new:
+            known.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+            self.young.update(new)
+            self.used += sum(map(len, new)) + _ENTRY_BYTES * len(new)
+
+    def _forget(self) -> None:
+        """Once the table is full, what came only once goes."""
+        if self.used > self.max_bytes:
+            known = self.of_piece
+            for x in self.young:
+                del known[x]
+            self.used -= sum(map(len, self.young)) + _ENTRY_BYTES * len(self.young)
+            self.young = set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [pieces(x) for x in texts]
-        known = self.of_piece
-        leave = self._learn(known, self.max_pieces, list(set().union(*[rest for _, rest in parts])), lambda new: self._pieces([" " + x for x in new]))
-        get = known.__getitem__
-        firsts = self._pieces([first for first, _ in parts])
-        out = [first + b"".join(map(get, rest)) for first, (_, rest) in zip(firsts, parts, strict=True)]
-        for x in leave:
-            del known[x]
+        long = {k: list(parts(x)) for k, x in enumerate(texts) if len(x) > 2 * _PART_CHARS}
+        if long:
+            return [b"".join(self._short([y])[0] for y in long[k]) if k in long else self._short([x])[0] for k, x in enumerate(texts)]
+        return self._short(texts)
+
+    def _short(self, texts: list[str]) -> list[bytes]:
+        split = [pieces(x) for x in texts]
+        self._learn(set().union(*[rest for _, rest in split]))
+        get = self.of_piece.__getitem__
+        firsts = self._ids([first for first, _ in split])
+        out = [first + b"".join(map(get, rest)) for first, (_, rest) in zip(firsts, split, strict=True)]
+        self._forget()
         return out
 
 
-_encoders: dict = {}
-
-
-def kept_encoder(key: str, make) -> Encoder:
-    """The encoder that this Python worker keeps for ``key``; it serves all tasks of a query."""
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = make()
-    return _encoders[key]
+def shared_words(docs: DataFrame, ranks, pattern: str, text_col: str = "text", *, most: int = HEAD_WORDS) -> dict[str, bytes]:
+    """Ids of the words that most stretches of the corpus have, at most ``most`` of them and none of a single stretch.
 
+    Every text is read. A task reports the distinct words of each of its stretches, and their numbers are summed by word. The words
+    taken are dealt by a hash, and the merges are replayed over all words of a part at once. ``ranks`` is a broadcast rank file.
+    """
 
-def _replay_encoder(ranks: bytes, pattern: str) -> Encoder:
-    table = MergeTable(read_ranks(ranks))
-
-    def encode_words(words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in table.replay([w.encode("utf-8", "surrogatepass") for w in words])]
-
-    return Encoder(encode_words, regex.compile(pattern).findall)
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        found: set[str] = set()
+        firsts: set[str] = set()
 
+        def words() -> pa.RecordBatch:
+            own = set(chain.from_iterable(map(find, firsts))).union(chain.from_iterable(find(" " + x) for x in found))
+            found.clear()
+            firsts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w in own if len(w) <= HEAD_WORD_BYTES], pa.string())], ["word"])
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", *, slice_bytes: int = 2 << 20) -> DataFrame:
+        for whole in batches:
+            for batch in row_slices(whole, "text"):
+                for x in batch.column("text").to_pylist():
+                    for y in parts(x or ""):
+                        first, rest = pieces(y)
+                        firsts.add(first)
+                        found.update(rest)
+                if len(found) + len(firsts) > _REPORT_PIECES:
+                    yield words()
+        yield words()
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [w for batch in batches for w in batch.column("word").to_pylist()]
+        if words:
+            ids = MergeTable(read_ranks(ranks.value)).encode(words)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.binary())], ["word", "ids"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(release(report), "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    head = found.where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_WORD_BYTES)).orderBy(F.desc("n"), "word").limit(most)
+    got = head.repartition(4, "word").select("word").mapInArrow(release(replay, ranks), "word string, ids binary").toArrow()
+    return dict(zip(got.column("word").to_pylist(), got.column("ids").to_pylist(), strict=True))
+
+
+def _vocabulary(ranks: bytes) -> list[bytes | None]:
+    by_id = {i: b for b, i in read_ranks(ranks).items()}
+    return [by_id.get(i) for i in range(max(by_id, default=-1) + 1)]
+
+
+def _bytes_of(vocabulary: list[bytes | None], ids: bytes) -> bytes:
+    try:
+        return b"".join([vocabulary[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    except (IndexError, TypeError):
+        raise ValueError("an id that the ranks do not have") from None
+
+
+def encode(
+    docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", *, decoded_col: str | None = None, slice_bytes: int = 2 << 20, head_words: int = HEAD_WORDS
+) -> DataFrame:
     """``docs`` with ``ids_col``: the token ids of the whole text as little-endian unsigned 32-bit integers.
 
     ``ranks`` is the content of a rank file (a vocabulary, a few MB at most) and is broadcast. Each match of ``pattern`` is
-    encoded by itself. A task gathers the distinct new words of a stretch of documents and replays the
-    merges on all of them at once (:meth:`MergeTable.replay`); words met before keep their ids in tables of
-    bounded size. Nothing shuffles.
+    encoded by itself. :func:`shared_words` replays the merges once over the most widespread words of the corpus, for all tasks; a task
+    replays them over the distinct other words of each slice of its documents (:meth:`MergeTable.replay`). Joining ids back to every
+    occurrence of a rare word would shuffle the corpus. With ``decoded_col`` the ids are decoded again in the same pass
+    (:func:`decode`). A task's tables are bounded in bytes and go when it ends.
 
-    Null and empty text have no ids (an empty binary). A column named ``ids_col`` is replaced, other
-    columns pass through; repeated rows are encoded alike; an empty table gives an empty result.
+    Null and empty text have no ids (an empty binary). Columns named ``ids_col`` or ``decoded_col`` are replaced, other
+    columns pass through; repeated rows are encoded alike; an empty table gives an empty result. ``head_words`` of 0 shares nothing.
     """
-    out = docs.drop(ids_col)
-    kept, schema = out.columns, out.withColumn(ids_col, F.lit(b"")).schema
-    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex
+    own = [ids_col, *([decoded_col] if decoded_col else [])]
+    out = docs.drop(*[c for c in docs.columns if c.lower() in [x.lower() for x in own]])
+    passed, schema, key = out.columns, out.withColumns({c: F.lit(b"") for c in own}).schema, uuid.uuid4().hex
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(ranks)
+    words = context.broadcast(shared_words(docs, shared, pattern, text_col, most=head_words) if head_words else {})
+
+    def tables() -> tuple[Encoder, list[bytes | None]]:
+        encoder = Encoder(MergeTable(read_ranks(shared.value)).encode, regex.compile(pattern).findall, words.value)
+        return encoder, _vocabulary(shared.value) if decoded_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_encoder(key, lambda: _replay_encoder(shared.value, pattern))
+        encoder, vocabulary = kept(key, tables)
         for whole in batches:
             for batch in row_slices(whole, text_col, slice_bytes):
                 ids = encoder.encode([x or "" for x in batch.column(text_col).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ids, pa.binary())], [*kept, ids_col])
+                done = [pa.array(ids, pa.binary())]
+                if decoded_col:
+                    done.append(pa.array([_bytes_of(vocabulary, x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], *done], [*passed, *own])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(release(run, shared, words, keep=key), schema)
 
 
 def decode(docs: DataFrame, ranks: bytes, ids_col: str = "ids", bytes_col: str = "decoded", *, slice_ids: int = 1 << 18) -> DataFrame:
-    """``docs`` with ``bytes_col``: the bytes that the ids stand for. Null ids give no bytes; unknown ids are an error."""
-    out = docs.drop(bytes_col)
-    kept, schema = out.columns, out.withColumn(bytes_col, F.lit(b"")).schema
+    """``docs`` with ``bytes_col``: the bytes that the ids stand for. Null ids give no bytes; an id that the ranks do not have is an error.
+
+    A column named ``bytes_col`` is replaced, other columns pass through; an empty table gives an empty result.
+    """
+    out = docs.drop(*[c for c in docs.columns if c.lower() == bytes_col.lower()])
+    passed, schema = out.columns, out.withColumn(bytes_col, F.lit(b"")).schema
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {i: b for b, i in read_ranks(shared.value).items()}
-        vocabulary = [by_id.get(i) for i in range(max(by_id) + 1)]
-        get = vocabulary.__getitem__
+        vocabulary = _vocabulary(shared.value)
         for batch in batches:
             for r0, r1 in _id_slices(batch.column(ids_col), slice_ids):
                 part = batch.slice(r0, r1 - r0)
-                texts = [b"".join(map(get, np.frombuffer(x, "<u4").tolist())) if x else b"" for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(texts, pa.binary())], [*kept, bytes_col])
+                texts = [_bytes_of(vocabulary, x or b"") for x in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed], pa.array(texts, pa.binary())], [*passed, bytes_col])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(release(run, shared), schema)
 
 
 def _id_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,35 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_kept: dict = {}
+
+
+def kept(key: str, make):
+    """What a Python worker keeps from task to task of one stage; it goes when the worker begins something else."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release(run, *shared, keep: str | None = None):
+    """``run`` for ``mapInArrow``, so that a Python worker, which serves other stages too, holds none of their tables meanwhile and no broadcast value afterwards."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key in [k for k in _kept if k != keep]:
+            del _kept[key]
+        gc.collect()
+        try:
+            yield from run(batches)
+        finally:
+            for x in shared:
+                x.__dict__.pop("_value", None)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with those of ``df`` (case-insensitively), one for each wanted name."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from layoutlint.llm import bpe, decontam, langid, line_dedup, minhash, quotes, sharding, token_counts, token_ids, winnowing
 
 
+#: Bytes of an Arrow batch in the sessions of these queries: JVM and Python worker hold one or two each.
+ARROW_BYTES = "8m"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -151,8 +156,8 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = tokenizer_file(spark, path)
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids"), ranks)
-    return decoded.select(
+    done = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded")
+    return done.select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -12,24 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layoutlint.llm.bpe import CACHE_WORDS, read_ranks
-from layoutlint.llm.common import row_slices
+from layoutlint.llm.bpe import read_ranks
+from layoutlint.llm.common import kept, release, row_slices
 
 #: An edit replaces the code points from ``start`` up to ``stop`` by ``put``; later edits see the text that earlier ones left.
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("put", T.StringType())]))
 
-_counters: dict = {}
+#: Bytes of the table of pre-tokens that a task keeps, with about 120 for each entry's objects.
+KNOWN_BYTES = 32 << 20
+_ENTRY_BYTES = 120
 
 
 class Counter:
     """Token counts of pre-tokens by the tiktoken library, with a bounded table of those met."""
 
-    def __init__(self, ranks: bytes, pattern: str, limit: int = CACHE_WORDS):
+    def __init__(self, ranks: bytes, pattern: str, limit: int = KNOWN_BYTES):
         import tiktoken
 
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
         self.encode, self.pattern, self.limit = encoding.encode_ordinary, regex.compile(pattern), limit
         self.known: dict[str, int] = {}
+        self.used = 0
 
     def counts(self, words: list[str]) -> list[int]:
         known = self.known
@@ -38,55 +41,94 @@ class Counter:
         for w in new:
             known[w] = len(encode(w))
         out = [known[w] for w in words]
-        if len(known) > self.limit:
+        size = sum(map(len, new)) + _ENTRY_BYTES * len(new)
+        if self.used + size > self.limit:
             for w in new:
                 del known[w]
+        else:
+            self.used += size
         return out
 
 
+_NONE = np.zeros(0, np.int32)
+
+
 class Tree:
     """A segment tree over pre-tokens: each node has the characters and the tokens below it.
 
-    Leaves lie in chunks, so that an edit that changes their number rebuilds a few chunks and the sums above them,
-    and the place of a character is found from the root in logarithmic time.
+    Leaves lie in chunks; the inner nodes above them are kept between edits. An edit reads and rewrites the chunks that it touches and
+    renews the sums on the paths from those to the root. Chunks may become empty, and grow up to ``4 * CHUNK``; only an edit that puts more into one
+    builds the tree anew. The place of a character is found from the root in logarithmic time.
     """
 
     CHUNK = 64
 
-    def __init__(self, chars: list[int], tokens: list[int]):
-        step = self.CHUNK
-        self.leaves = [(chars[i : i + step], tokens[i : i + step]) for i in range(0, len(chars), step)] or [([], [])]
-        self._build()
+    def __init__(self, chars=_NONE, tokens=_NONE, sizes=None, node_chars=None, node_tokens=None):
+        self._set(np.asarray(chars, np.int32), np.asarray(tokens, np.int32), sizes)
+        if node_chars is None:
+            self._build()
+        else:
+            self.size, self.chars, self.tokens = len(node_chars) // 2, np.array(node_chars, np.int64), np.array(node_tokens, np.int64)
+
+    def _set(self, chars: np.ndarray, tokens: np.ndarray, sizes) -> None:
+        self.old = chars, tokens
+        if sizes is None:
+            n = max(1, -(-len(chars) // self.CHUNK))
+            sizes = np.full(n, self.CHUNK, np.int32)
+            sizes[-1] = len(chars) - (n - 1) * self.CHUNK
+        self.sizes = np.array(sizes, np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).tolist()
+        self.changed: dict[int, tuple[list[int], list[int]]] = {}
 
     def _build(self) -> None:
-        size = 1
-        while size < len(self.leaves):
+        """All sums, level by level."""
+        n, size = len(self.sizes), 1
+        while size < n:
             size *= 2
         self.size = size
-        self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
-        for k, (c, t) in enumerate(self.leaves):
-            self.chars[size + k], self.tokens[size + k] = sum(c), sum(t)
-        for k in range(size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+        for name, values in zip(("chars", "tokens"), self.old, strict=True):
+            nodes = np.zeros(2 * size, np.int64)
+            total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+            nodes[size : size + n] = np.diff(total[self.starts])
+            while size > 1:
+                nodes[size // 2 : size] = nodes[size : 2 * size : 2] + nodes[size + 1 : 2 * size : 2]
+                size //= 2
+            size = self.size
+            setattr(self, name, nodes)
 
     @property
     def n_tokens(self) -> int:
-        return self.tokens[1]
+        return int(self.tokens[1])
+
+    def chunk(self, k: int) -> tuple[list[int], list[int]]:
+        if k in self.changed:
+            return self.changed[k]
+        a, b = self.starts[k], self.starts[k + 1]
+        return self.old[0][a:b].tolist(), self.old[1][a:b].tolist()
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of all leaves; what no edit touched is copied as it is."""
+        parts: tuple[list, list] = ([], [])
+        at = 0
+        for k in sorted(self.changed):
+            for out, old, new in zip(parts, self.old, self.changed[k], strict=True):
+                out += [old[at : self.starts[k]], np.array(new, np.int32)]
+            at = self.starts[k + 1]
+        return tuple(np.concatenate([*out, old[at:]]) for out, old in zip(parts, self.old, strict=True))
 
     def find(self, char: int) -> tuple[int, int, int]:
         """Chunk, leaf and first character of the leaf that holds ``char``; past the end, the place after the last leaf."""
         if char >= self.chars[1]:
-            last = len(self.leaves) - 1
-            return last, len(self.leaves[last][0]), self.chars[1]
+            last = len(self.sizes) - 1
+            return last, int(self.sizes[last]), int(self.chars[1])
         node, begin = 1, 0
         while node < self.size:
             node *= 2
             if char >= begin + self.chars[node]:
-                begin += self.chars[node]
+                begin += int(self.chars[node])
                 node += 1
         leaf = 0
-        for n in self.leaves[node - self.size][0]:
+        for n in self.chunk(node - self.size)[0]:
             if char < begin + n:
                 break
             begin += n
@@ -95,37 +137,40 @@ class Tree:
 
     def next_leaf(self, chunk: int, leaf: int) -> tuple[int, int]:
         leaf += 1
-        while chunk < len(self.leaves) - 1 and leaf >= len(self.leaves[chunk][0]):
+        while chunk < len(self.sizes) - 1 and leaf >= self.sizes[chunk]:
             chunk, leaf = chunk + 1, 0
         return chunk, leaf
 
     def replace(self, first: tuple[int, int], stop: tuple[int, int], chars: list[int], tokens: list[int]) -> None:
         """Put new leaves in the place of those from ``first`` up to ``stop``, and renew the sums above them."""
         (c0, l0), (c1, l1) = first, stop
-        new_c = [*self.leaves[c0][0][:l0], *chars, *self.leaves[c1][0][l1:]]
-        new_t = [*self.leaves[c0][1][:l0], *tokens, *self.leaves[c1][1][l1:]]
-        if c0 == c1 and 0 < len(new_c) <= 2 * self.CHUNK:
-            self.leaves[c0] = (new_c, new_t)
-            node = self.size + c0
-            self.chars[node], self.tokens[node] = sum(new_c), sum(new_t)
+        head, tail = self.chunk(c0), self.chunk(c1)
+        new = [*head[0][:l0], *chars, *tail[0][l1:]], [*head[1][:l0], *tokens, *tail[1][l1:]]
+        for k in range(c0, c1 + 1):
+            self._put(k, new if k == c0 else ([], []))
+        if len(new[0]) > 4 * self.CHUNK:
+            self._set(*self.arrays(), None)
+            self._build()
+
+    def _put(self, k: int, leaves: tuple[list[int], list[int]]) -> None:
+        self.changed[k], self.sizes[k] = leaves, len(leaves[0])
+        for nodes, own in zip((self.chars, self.tokens), leaves, strict=True):
+            node = self.size + k
+            nodes[node] = sum(own)
             while node > 1:
                 node //= 2
-                self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-                self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
-            return
-        step = self.CHUNK
-        self.leaves[c0 : c1 + 1] = [(new_c[i : i + step], new_t[i : i + step]) for i in range(0, len(new_c), step)]
-        self.leaves = self.leaves or [([], [])]
-        self._build()
+                nodes[node] = nodes[2 * node] + nodes[2 * node + 1]
 
 
 class Document:
     """A text with its tree; ``edit`` keeps both."""
 
-    def __init__(self, text: str, counter: Counter, spans: list[str] | None = None, tokens: list[int] | None = None):
+    def __init__(self, text: str, counter: Counter, tree: Tree | None = None):
         self.text, self.counter = text, counter
-        words = counter.pattern.findall(text) if spans is None else spans
-        self.tree = Tree([len(w) for w in words], counter.counts(words) if tokens is None else tokens)
+        if tree is None:
+            words = counter.pattern.findall(text)
+            tree = Tree([len(w) for w in words], counter.counts(words))
+        self.tree = tree
 
     def edit(self, start: int, stop: int, put: str) -> int:
         """Replace a range and return how many pre-tokens were encoded for it.
@@ -143,13 +188,13 @@ class Document:
         # the old leaf at or behind the edit's end, walked along with the new matches
         c1, l1, old_begin = tree.find(stop)
         if old_begin < stop:
-            old_begin += tree.leaves[c1][0][l1]
+            old_begin += tree.chunk(c1)[0][l1]
             c1, l1 = tree.next_leaf(c1, l1)
         words, at = [], begin
         match = self.counter.pattern.match
         while at < len(text):
             while old_begin + shift < at and old_begin < old:
-                old_begin += tree.leaves[c1][0][l1]
+                old_begin += tree.chunk(c1)[0][l1]
                 c1, l1 = tree.next_leaf(c1, l1)
             if at == old_begin + shift and at >= start + len(put):
                 break
@@ -157,32 +202,26 @@ class Document:
             words.append(text[at:end])
             at = end
         if at >= len(text):
-            c1 = len(tree.leaves) - 1
-            l1 = len(tree.leaves[c1][0])
+            c1 = len(tree.sizes) - 1
+            l1 = int(tree.sizes[c1])
         tree.replace((chunk, leaf), (c1, l1), [len(w) for w in words], self.counter.counts(words))
         return len(words)
 
 
-def _counter(key: str, ranks: bytes, pattern: str) -> Counter:
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = Counter(ranks, pattern)
-    return _counters[key]
-
-
-STATE = ("seg_chars", "seg_tokens")
+#: Leaves, leaves in each chunk, and the sums of the inner nodes, the root at place 1.
+STATE = {"seg_chars": np.int32, "seg_tokens": np.int32, "chunk_sizes": np.int32, "node_chars": np.int64, "node_tokens": np.int64}
 COUNTS = ("n_tokens", "n_encoded")
 
 
 def _schema(docs: DataFrame) -> tuple[list[str], T.StructType]:
     own = {*STATE, *COUNTS}
-    kept = [f for f in docs.schema.fields if f.name.lower() not in own]
-    counts = [T.StructField("seg_chars", T.ArrayType(T.IntegerType())), T.StructField("seg_tokens", T.ArrayType(T.IntegerType()))]
-    return [f.name for f in kept], T.StructType([*kept, *counts, T.StructField("n_tokens", T.LongType()), T.StructField("n_encoded", T.LongType())])
+    passed = [f for f in docs.schema.fields if f.name.lower() not in own]
+    state = [T.StructField(c, T.ArrayType(T.IntegerType() if kind is np.int32 else T.LongType())) for c, kind in STATE.items()]
+    return [f.name for f in passed], T.StructType([*passed, *state, *[T.StructField(c, T.LongType()) for c in COUNTS]])
 
 
 def count_tokens(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with the leaves of each text's tree (``seg_chars``, ``seg_tokens``), ``n_tokens`` and ``n_encoded``, the number of its pre-tokens.
+    """``docs`` with each text's tree (``STATE``: leaves, chunks and inner sums), ``n_tokens`` and ``n_encoded``, the number of its pre-tokens.
 
     A pre-token is a match of ``pattern`` in the whole text. Null and empty text have no leaves and no tokens. Columns
     named like the added ones are replaced; an empty table gives an empty result.
@@ -191,8 +230,9 @@ def count_tokens(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "t
 
 
 def apply_edits(state: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """The state after each document's edits (a column of type ``EDITS``, in order): its text, leaves, ``n_tokens``, and in ``n_encoded`` the
-    pre-tokens that were encoded, which are those near the edits, whatever the length of the text.
+    """The state after each document's edits (a column of type ``EDITS``, in order): its text, tree, ``n_tokens``, and in ``n_encoded`` the
+    pre-tokens that were encoded, which are those near the edits, whatever the length of the text. The tree's untouched chunks and sums are
+    copied, not worked out again.
 
     Ranges are cut to the text; a null range or replacement counts as 0 or empty, and a null list of edits changes nothing.
     Null text is edited as if empty and stays null without edits. Nothing shuffles.
@@ -201,48 +241,46 @@ def apply_edits(state: DataFrame, ranks: bytes, pattern: str, text_col: str = "t
 
 
 def _run(docs: DataFrame, ranks: bytes, pattern: str, text_col: str, edits_col: str | None) -> DataFrame:
-    kept, schema = _schema(docs)
-    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), uuid.uuid4().hex
+    passed, schema = _schema(docs)
+    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), f"{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(key, shared.value, pattern)
+        counter = kept(key, lambda: Counter(shared.value, pattern))
         for whole in batches:
             for batch in row_slices(whole, text_col):
                 texts = batch.column(text_col).to_pylist()
+                encoded = []
                 if edits_col is None:
                     found = [counter.pattern.findall(x or "") for x in texts]
-                    tokens = counter.counts([w for words in found for w in words])
-                    sizes = np.fromiter((len(w) for words in found for w in words), np.int32, len(tokens))
-                    ends = np.concatenate([[0], np.cumsum([len(words) for words in found])]).astype(np.int32)
-                    tokens = np.array(tokens, np.int32)
-                    sums = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
-                    yield _batch(batch, kept, None, None, ends, sizes, tokens, sums[ends[1:]] - sums[ends[:-1]], np.diff(ends).astype(np.int64))
+                    tokens = np.array(counter.counts([w for words in found for w in words]), np.int32)
+                    chars = np.fromiter((len(w) for words in found for w in words), np.int32, len(tokens))
+                    encoded = [len(words) for words in found]
+                    ends = np.concatenate([[0], np.cumsum(encoded)]).astype(np.int64)
+                    trees = [Tree(chars[a:b], tokens[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    yield _batch(batch, passed, None, None, trees, encoded)
                     continue
-                chars, tokens, totals, encoded, lengths = [], [], [], [], [0]
-                state = zip(texts, batch.column("seg_chars"), batch.column("seg_tokens"), batch.column(edits_col).to_pylist(), strict=True)
-                for r, (text, old_chars, old_tokens, edits) in enumerate(state):
-                    doc = Document(text or "", counter, [], [])
-                    doc.tree = Tree(*[x.values.to_pylist() if x.is_valid else [] for x in (old_chars, old_tokens)])
-                    n = 0
-                    for e in edits or ():
-                        n += doc.edit(e["start"] or 0, e["stop"] or 0, e["put"] or "")
+                trees = []
+                state = [batch.column(c) for c in STATE]
+                for r, edits in enumerate(batch.column(edits_col).to_pylist()):
+                    known = [c[r].values.to_numpy() for c in state] if all(c[r].is_valid for c in state) else []
+                    doc = Document(texts[r] or "", counter, Tree(*known))
+                    n = sum(doc.edit(e["start"] or 0, e["stop"] or 0, e["put"] or "") for e in edits or ())
                     if edits:
                         texts[r] = doc.text
-                    for c, t in doc.tree.leaves:
-                        chars += c
-                        tokens += t
-                    lengths.append(len(chars))
-                    totals.append(doc.tree.n_tokens)
+                    trees.append(doc.tree)
                     encoded.append(n)
-                yield _batch(
-                    batch, kept, text_col, texts, np.array(lengths, np.int32), np.array(chars, np.int32), np.array(tokens, np.int32),
-                    np.array(totals, np.int64), np.array(encoded, np.int64),
-                )
+                yield _batch(batch, passed, text_col, texts, trees, encoded)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(release(run, shared, keep=key), schema)
 
 
-def _batch(batch, kept, text_col, texts, ends, chars, tokens, totals, encoded) -> pa.RecordBatch:
-    columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in kept]
-    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (chars, tokens)]
-    return pa.RecordBatch.from_arrays([*columns, *lists, pa.array(totals), pa.array(encoded)], [*kept, *STATE, *COUNTS])
+def _batch(batch: pa.RecordBatch, passed: list[str], text_col: str | None, texts, trees: list[Tree], encoded: list[int]) -> pa.RecordBatch:
+    columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in passed]
+    rows = [(*t.arrays(), t.sizes, t.chars, t.tokens) for t in trees]
+    lists = []
+    for k, kind in enumerate(STATE.values()):
+        ends = np.concatenate([[0], np.cumsum([len(r[k]) for r in rows])]).astype(np.int32)
+        values = np.concatenate([r[k] for r in rows]).astype(kind) if rows else np.zeros(0, kind)
+        lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+    counts = [pa.array([t.n_tokens for t in trees], pa.int64()), pa.array(encoded, pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, *lists, *counts], [*passed, *STATE, *COUNTS])

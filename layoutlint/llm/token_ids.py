@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -14,63 +15,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlint.llm.bpe import CACHE_PIECES, CACHE_WORDS, Encoder, kept_encoder
-from layoutlint.llm.common import materialize, new_path, row_slices
+from layoutlint.llm.bpe import CACHE_BYTES, Encoder
+from layoutlint.llm.common import kept, materialize, new_path, release, row_slices
 from layoutlint.llm.vec import mix
 
 #: Text for a shard, about. A shard is a file; readers hold one at a time.
-SHARD_TEXT_BYTES = 32 << 20
+SHARD_TEXT_BYTES = 16 << 20
 #: Keys in a part of the index, about.
 INDEX_KEYS = 50_000
-_MAGIC = b"idshard1"
-_TRAILER = "<QQB"
+#: At most so many shards are opened by name and so many places told to the readers; a request for more reads all files.
+NAMED_SHARDS, NAMED_PLACES = 1_000, 100_000
+_MAGIC = b"idshard2"
+#: Documents, bytes of keys and bytes of an id, most significant byte first, so that SQL reads them too.
+_TRAILER = ">QQB"
+_TAIL = struct.calcsize(_TRAILER) + len(_MAGIC)
 
 
-def library_encoder(vocabulary: bytes, width: str) -> Encoder:
-    """An encoder that gives new pieces to the tokenizers library; a byte-level model keeps pieces apart.
+class LibraryEncoder:
+    """Ids of whole texts by the tokenizers library, the same as those of a call for each text.
 
-    Pieces that begin with a single space are encoded as one text and told apart by their lengths in bytes.
+    Text is cut into pieces (:func:`bpe.pieces`), which a byte-level model keeps apart, and only new pieces go to the library: those that begin with
+    a single space as one text, told apart by their lengths in bytes. A text that holds the string of an added token, which the library takes
+    for that token unless ``plain`` says that it is ordinary text, goes there as a whole.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_buffer(vocabulary)
-    model.encode_special_tokens = True
-    n_bytes = np.zeros(model.get_vocab_size(), np.int64)
-    for token, i in model.get_vocab().items():
-        n_bytes[i] = len(token)
+    def __init__(self, vocabulary: bytes, width: str, plain: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def encode_words(words: list[str]) -> list[bytes]:
+        self.width = width
+        self.model = Tokenizer.from_buffer(vocabulary)
+        self.model.encode_special_tokens = plain
+        added = [] if plain else [x.content for x in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.n_bytes = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.n_bytes[i] = len(token)
+        self.pieces = Encoder(self._ids_of_pieces, max_bytes=2 * CACHE_BYTES)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.width) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of_pieces(self, words: list[str]) -> list[bytes]:
         out: list = [None] * len(words)
         apart = [k for k, w in enumerate(words) if not (len(w) > 1 and w[0] == " " and not w[1].isspace())]
-        for k, x in zip(apart, model.encode_batch_fast([words[k] for k in apart], add_special_tokens=False), strict=True):
-            out[k] = np.array(x.ids, width).tobytes()
+        for k, ids in zip(apart, self._library([words[k] for k in apart]), strict=True):
+            out[k] = ids.tobytes()
         joint = [k for k, w in enumerate(words) if out[k] is None]
         for at in range(0, len(joint), 4096):
             some = joint[at : at + 4096]
-            ids = np.array(model.encode_batch_fast(["".join([words[k] for k in some])], add_special_tokens=False)[0].ids, width)
-            ends = (np.searchsorted(np.cumsum(n_bytes[ids]), np.cumsum([len(words[k].encode()) for k in some])) + 1) * ids.itemsize
+            (ids,) = self._library(["".join([words[k] for k in some])])
+            ends = (np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(words[k].encode()) for k in some])) + 1) * ids.itemsize
             raw, start = ids.tobytes(), 0
             for k, end in zip(some, ends.tolist(), strict=True):
                 out[k] = raw[start:end]
                 start = end
         return out
 
-    return Encoder(encode_words, max_pieces=CACHE_WORDS + CACHE_PIECES // 2)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        apart = {k for k, x in enumerate(texts) if self.added.search(x)} if self.added else set()
+        ids = iter(self.pieces.encode([x for k, x in enumerate(texts) if k not in apart]))
+        return [self._library([x])[0].tobytes() if k in apart else next(ids) for k, x in enumerate(texts)]
 
 
 @dataclass(frozen=True)
 class IdFiles:
-    """Where the payload files and the index lie, and how wide an id is."""
+    """Where the payload files, the index and the shards' first id numbers lie, and how wide an id is."""
 
     path: str
     index_path: str
+    base_path: str
     width: int
     parts: int
+    shards: int
 
 
 def write_ids(
-    docs: DataFrame, vocabulary: bytes, key_col: str = "doc_id", text_col: str = "text", *, end_id: int = 0, shard_bytes: int = SHARD_TEXT_BYTES
+    docs: DataFrame, vocabulary: bytes, key_col: str = "doc_id", text_col: str = "text", *, end_id: int = 0, shard_bytes: int = SHARD_TEXT_BYTES, plain: bool = False
 ) -> IdFiles:
     """Encode the whole texts, append ``end_id`` to each, and write ids in ascending key order, with an index.
 
@@ -80,8 +101,9 @@ def write_ids(
 
     The index maps a key to shard, offset and length in constant time: keys are dealt to parts by a hash;
     in a part a minimal perfect hash (levels of bit arrays; a key is at the first level where nobody
-    else has its bit) numbers them without gaps, and the slot stores a 32-bit fingerprint with the place.
+    else has its bit) numbers them without gaps, and the slot stores a 32-bit fingerprint with the place. It is built from the footers alone.
 
+    Strings of added tokens in a text become those tokens, as in the library's plain call; with ``plain`` they are ordinary text.
     Null text is empty and has the end id only. Null keys come first and form one key. Rows that share a key
     follow one another, by the hash of their text; the index gives the first of them and their number. An empty table has files without
     documents and an empty index. Extra columns are not stored.
@@ -95,34 +117,37 @@ def write_ids(
     size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec.get("added_tokens", []))], default=0)
     width = 2 if size <= 1 << 16 else 4
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a document without text has its key and length to store
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     dealt = rows.repartitionByRange(shards, F.col("key"), F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
     path = new_path(spark, "ids")
     shared, token = spark.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
-    records = dealt.withColumn("key", F.col("key").cast("string")).mapInArrow(_recorder(shared, token, width), "record binary")
+    records = dealt.withColumn("key", F.col("key").cast("string")).mapInArrow(_recorder(shared, token, width, plain), "record binary")
     separator = chr(end_id) + "\0" * (width - 1)
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "none").text(path)
+    listed = materialize(footers(spark, path, width), "footers")
     places = (
-        payloads(spark, path, width, end_id, crc=False)
-        .groupBy("key")
-        .agg(F.min(F.struct("shard", "offset", "n")).alias("at"), F.count(F.lit(1)).alias("copies"))
-        .selectExpr("key", "at.shard", "at.offset", "at.n", "copies")
+        listed.groupBy("key")
+        .agg(F.min(F.struct("shard", "offset", "n")).alias("at"), F.count(F.lit(1)).alias("copies"), F.max("shard").alias("last"))
+        .selectExpr("key", "at.shard", "at.offset", "at.n", "copies", "last")
     )
-    places = materialize(places, "places")
-    parts = max(1, -(-places.count() // INDEX_KEYS))
-    index_path = new_path(spark, "index")
+    parts = max(1, -(-listed.count() // INDEX_KEYS))
+    index_path, base_path = new_path(spark, "index"), new_path(spark, "bases")
     _hashed(places, parts).drop("key").groupBy("part").applyInArrow(_build, _PART).write.parquet(index_path)
-    return IdFiles(path, index_path, width, parts)
+    # a row for each shard: few, so that one task sums them up
+    bases = listed.groupBy("shard").agg(F.sum("n").alias("ids")).selectExpr("shard", "sum(ids) over (order by shard) - ids as base")
+    bases.write.parquet(base_path)
+    return IdFiles(path, index_path, base_path, width, parts, shards)
 
 
-def _recorder(shared, token: str, width: int):
+def _recorder(shared, token: str, width: int, plain: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_encoder(token, lambda: library_encoder(shared.value, f"<u{width}"))
+        encoder = kept(token, lambda: LibraryEncoder(shared.value, f"<u{width}", plain))
         keys: list[str | None] = []
         lengths: list[int] = []
         for whole in batches:
-            for batch in row_slices(whole, "text", 4 << 20):
+            for batch in row_slices(whole, "text", 2 << 20):
                 ids = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
                 keys += batch.column("key").to_pylist()
                 lengths += [len(x) // width + 1 for x in ids]
@@ -132,52 +157,76 @@ def _recorder(shared, token: str, width: int):
         footer += struct.pack(_TRAILER, len(keys), sum(map(len, coded)), width) + _MAGIC
         yield pa.RecordBatch.from_arrays([pa.array([footer], pa.binary())], ["record"])
 
-    return run
+    return release(run, shared, keep=token)
 
 
-def read_shard(content: memoryview, width: int) -> tuple[list[str | None], np.ndarray, memoryview]:
-    """Keys, lengths in ids, and the payload of a shard file."""
-    tail = len(content) - width - len(_MAGIC)
-    if bytes(content[tail : tail + len(_MAGIC)]) != _MAGIC:
+def read_footer(content: memoryview, width: int) -> tuple[list[str | None], np.ndarray, int]:
+    """Keys and lengths in ids of a shard file, or of its end from the footer on, and where the footer begins."""
+    tail = len(content) - width - _TAIL
+    if tail < 0 or bytes(content[tail + _TAIL - len(_MAGIC) : tail + _TAIL]) != _MAGIC:
         raise ValueError("not a shard of ids, or cut short")
-    docs, key_bytes, own_width = struct.unpack(_TRAILER, content[tail - struct.calcsize(_TRAILER) : tail])
+    docs, key_bytes, own_width = struct.unpack(_TRAILER, content[tail : tail + _TAIL - len(_MAGIC)])
     if own_width != width:
         raise ValueError("ids of another width")
-    at = tail - struct.calcsize(_TRAILER) - 8 * docs
-    lengths = np.frombuffer(content[at : at + 8 * docs], "<u8").astype(np.int64)
+    at = tail - 8 * docs
+    lengths = np.frombuffer(content[at:tail], "<u8").astype(np.int64)
     at -= key_bytes
     coded = bytes(content[at : at + key_bytes])
     sizes = np.frombuffer(content[at - 4 * docs : at], "<u4")
     ends = np.cumsum(sizes, dtype=np.int64)
     keys = [None if coded[e - s] == 0 else coded[e - s + 1 : e].decode() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-    return keys, lengths, content[: at - 4 * docs]
+    return keys, lengths, at - 4 * docs
+
+
+def _files(spark: SparkSession, path: str, shards: list[int] | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+    files = reader.load(path if shards is None else [f"{path}/part-{k:05d}-*" for k in shards])
+    return files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "content")
+
+
+def footers(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """A row for each document in the files: ``shard``, ``key``, ``offset`` and ``n`` in ids. Ids do not leave the JVM."""
+    number = lambda at: F.conv(F.hex(F.substring("content", F.length("content") - (width + _TAIL - at) + 1, F.lit(8))), 16, 10).cast("long")
+    size = F.least(12 * number(0) + number(8) + width + _TAIL, F.length("content"))
+    ends = _files(spark, path).select("shard", F.substring("content", (F.length("content") - size + 1).cast("int"), size.cast("int")).alias("end"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                keys, lengths, _ = read_footer(memoryview(batch.column("end")[r].as_buffer()), width)
+                shard = np.full(len(keys), batch.column("shard")[r].as_py(), np.int32)
+                columns = [pa.array(shard), pa.array(keys, pa.string()), pa.array(np.cumsum(lengths) - lengths), pa.array(lengths)]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "offset", "n"])
+
+    return ends.mapInArrow(release(run), "shard int, key string, offset long, n long")
+
 
+def payloads(spark: SparkSession, path: str, width: int, shards: list[int] | None = None, wanted: dict[int, list[int] | None] | None = None) -> DataFrame:
+    """Documents in the files, or in the named ``shards``: ``shard``, ``key``, ``offset`` and ``n`` in ids, and the ids' ``crc`` as 32-bit integers.
 
-def payloads(spark: SparkSession, path: str, width: int, end_id: int = 0, *, crc: bool = True) -> DataFrame:
-    """A row for each document in the files: ``shard``, ``key``, ``offset`` and ``n`` in ids, and the ids' ``crc`` as 32-bit integers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    files = files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "content")
+    ``wanted`` has the offsets to be cut out of each shard (null: all).
+    """
+    shared = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                shard = batch.column("shard")[r].as_py()
-                keys, lengths, data = read_shard(memoryview(batch.column("content")[r].as_buffer()), width)
-                ends = np.cumsum(lengths)
-                sums = np.zeros(len(keys), np.int64)
-                if crc:
-                    ids = np.frombuffer(data, f"<u{width}")
-                    for k, (n, e) in enumerate(zip(lengths.tolist(), ends.tolist(), strict=True)):
-                        sums[k] = zlib.crc32(ids[e - n : e].astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(keys), pa.int32()), pa.array(keys, pa.string()), pa.array(ends - lengths), pa.array(lengths), pa.array(sums)],
-                    ["shard", "key", "offset", "n", "crc"],
-                )
+                shard, content = batch.column("shard")[r].as_py(), memoryview(batch.column("content")[r].as_buffer())
+                keys, lengths, end = read_footer(content, width)
+                ids = np.frombuffer(content[:end], f"<u{width}")
+                starts = np.cumsum(lengths) - lengths
+                only = None if shared.value is None else shared.value.get(shard, [])
+                at = np.arange(len(keys)) if only is None else np.flatnonzero(np.isin(starts, only))
+                starts, lengths = starts[at], lengths[at]
+                sums = [zlib.crc32(ids[s : s + n].astype("<u4")) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+                columns = [pa.array(np.full(len(at), shard, np.int32)), pa.array([keys[k] for k in at.tolist()], pa.string()), pa.array(starts), pa.array(lengths), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "key", "offset", "n", "crc"])
 
-    return files.mapInArrow(run, "shard int, key string, offset long, n long, crc long")
+    return _files(spark, path, shards).mapInArrow(release(run, shared), "shard int, key string, offset long, n long, crc long")
 
 
-_PART = "part int, sizes array<int>, bits binary, ranks binary, marks binary, shard binary, offset binary, n binary, copies binary"
+_STORED = ("shard", "offset", "n", "copies", "last")
+_PART = "part int, sizes array<int>, bits binary, ranks binary, marks binary, shard binary, offset binary, n binary, copies binary, last binary"
 
 
 def _hashed(keys: DataFrame, parts: int) -> DataFrame:
@@ -234,7 +283,7 @@ def _build(table: pa.Table) -> pa.Table:
     ranks = np.cumsum(counts) - counts
     at = slots(h1, h2, sizes, bits, ranks)
     stored = {"marks": _marks(h1, h2)}
-    stored |= {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype("<i8") for c in ("shard", "offset", "n", "copies")}
+    stored |= {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype("<i8") for c in _STORED}
     row = {"part": [table.column("part")[0].as_py()], "sizes": [sizes], "bits": [bits.tobytes()], "ranks": [ranks.astype("<i8").tobytes()]}
     for c, values in stored.items():
         placed = np.zeros_like(values)
@@ -244,8 +293,7 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def _find(keys: pa.Table, index: pa.Table) -> pa.Table:
-    names = ["shard", "offset", "n", "copies"]
-    schema = pa.schema([("key", pa.string()), *((c, pa.int64()) for c in names)])
+    schema = pa.schema([("key", pa.string()), *((c, pa.int64()) for c in _STORED)])
     if not index.num_rows or not keys.num_rows:
         return schema.empty_table()
     part = index.slice(0, 1).to_pylist()[0]
@@ -254,30 +302,50 @@ def _find(keys: pa.Table, index: pa.Table) -> pa.Table:
     found = at >= 0
     found[found] = np.frombuffer(part["marks"], "<u4")[at[found]] == _marks(h1, h2)[found]
     columns = [keys.column("key").combine_chunks().filter(pa.array(found)).cast(pa.string())]
-    columns += [pa.array(np.frombuffer(part[c], "<i8")[at[found]]) for c in names]
+    columns += [pa.array(np.frombuffer(part[c], "<i8")[at[found]]) for c in _STORED]
     return pa.Table.from_arrays(columns, schema=schema)
 
 
 def lookup(keys: DataFrame, files: IdFiles, key_col: str = "doc_id") -> DataFrame:
-    """Place of each distinct key that the files hold: ``key``, ``shard``, ``offset``, ``n`` and ``copies``.
+    """Place of each distinct key that the files hold: ``key``, ``shard``, ``offset``, ``n``, ``copies``, and the ``last`` shard with a copy.
 
-    Keys that are not in the index are left out, but for one in four thousand million, which only the fingerprint tells apart.
+    Keys that are not in the index are left out, but for one in four thousand million, which only the footer's key tells apart. Other
+    columns of ``keys`` do not matter; an empty table gives an empty result.
     """
     spark = keys.sparkSession
     wanted = _hashed(keys.select(F.col(key_col).cast("string").alias("key")).distinct(), files.parts)
     index = spark.read.parquet(files.index_path)
-    return wanted.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(_find, "key string, shard long, offset long, n long, copies long")
+    types = ", ".join(f"{c} long" for c in _STORED)
+    return wanted.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(_find, f"key string, {types}")
 
 
 def read_ids(keys: DataFrame, files: IdFiles, key_col: str = "doc_id") -> DataFrame:
-    """For each document with one of ``keys``: ``key``, ``start`` (ids before it in all files), ``n`` and ``crc``, through the index."""
+    """For each document with one of ``keys``: ``key``, ``start`` (ids before it in all files), ``n`` and ``crc``.
+
+    The index gives the places. Only the files that hold one are opened, and the ids are cut out at their offset; where that would be
+    more than ``NAMED_SHARDS`` files or ``NAMED_PLACES`` places, all files are read once and joined with the places by shard and
+    offset. The key in the file's footer is compared in both cases. Keys that the files do not hold give no row.
+    """
     spark = keys.sparkSession
-    stored = payloads(spark, files.path, files.width)
-    found = lookup(keys, files, key_col).selectExpr("key as k", "shard as at_shard", "offset as at_offset", "copies")
-    ends = stored.groupBy("shard").agg(F.sum("n").alias("ids")).selectExpr("shard as s", "sum(ids) over (order by shard) - ids as base")
-    same = (F.col("shard") == F.col("at_shard")) & (F.col("offset") == F.col("at_offset"))
-    return (
-        stored.join(found, F.col("key").eqNullSafe(F.col("k")) & (same | (F.col("copies") > 1)))
-        .join(ends, F.col("shard") == F.col("s"))
-        .select("key", (F.col("base") + F.col("offset")).alias("start"), "n", "crc")
-    )
+    found = materialize(lookup(keys, files, key_col), "found")
+    few = found.count() <= NAMED_PLACES
+    named = None
+    if few:
+        rows = found.select(F.explode(F.sequence("shard", "last")).alias("shard"), F.when(F.col("copies") == 1, F.col("offset")).alias("offset"))
+        named = rows.distinct().groupBy("shard").agg(F.sort_array(F.collect_list("offset")).alias("at"), F.bool_or(F.col("offset").isNull()).alias("all"))
+        named = {r["shard"]: None if r["all"] else r["at"] for r in named.limit(NAMED_SHARDS + 1).collect()}
+    if few and not named:
+        return found.selectExpr("key", "offset as start", "n", "0L as crc").limit(0)
+    if few and len(named) <= NAMED_SHARDS:
+        stored = payloads(spark, files.path, files.width, sorted(named), named)
+    else:
+        stored = payloads(spark, files.path, files.width)
+    once = found.where("copies = 1").selectExpr("key as k", "shard as at_shard", "offset as at_offset")
+    place = (F.col("shard") == F.col("at_shard")) & (F.col("offset") == F.col("at_offset")) & F.col("key").eqNullSafe(F.col("k"))
+    columns = ["key", "shard", "offset", "n", "crc"]
+    bases = spark.read.parquet(files.base_path).select(F.col("shard").alias("s"), "base")
+    many = found.where("copies > 1").selectExpr("key as k")
+    hits = stored.join(once, place).select(columns)
+    if not many.isEmpty():
+        hits = hits.unionByName(stored.join(many, F.col("key").eqNullSafe(F.col("k"))).select(columns))
+    return hits.join(bases, F.col("shard") == F.col("s")).select("key", (F.col("base") + F.col("offset")).alias("start"), "n", "crc")

@@ -4,7 +4,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from layoutlint.llm import bpe, token_counts, token_ids
@@ -25,18 +28,28 @@ def texts(n, seed=1, most=40):
 
 
 def test_replay_is_the_librarys_encoding(library):
-    encoder = bpe._replay_encoder(RANKS, public_tokenizers.PATTERN)
+    table = bpe.MergeTable(bpe.read_ranks(RANKS))
+    split = regex.compile(public_tokenizers.PATTERN).findall
     some = texts(3000)
+    words = sorted({w for x in some[:1500] for w in split(x)})
+    encoder = bpe.Encoder(table.encode, split, dict(zip(words, table.encode(words), strict=True)))
     for text, ids in zip(some, encoder.encode(some), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text)
 
 
 def test_small_tables_change_nothing(library):
-    encoder = bpe._replay_encoder(RANKS, public_tokenizers.PATTERN)
-    encoder.max_words, encoder.max_pieces = 20, 5
-    for text in texts(300, 2):
+    encoder = bpe.Encoder(bpe.MergeTable(bpe.read_ranks(RANKS)).encode, regex.compile(public_tokenizers.PATTERN).findall, max_bytes=2000)
+    for text in texts(300, 2) + texts(300, 2):
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
-    assert len(encoder.of_word) <= 20 and len(encoder.of_piece) <= 5
+    assert len(encoder.of_piece) <= 2000 / 150 + 40
+
+
+def test_long_texts_are_cut_where_nothing_changes(library, monkeypatch):
+    monkeypatch.setattr(bpe, "_PART_CHARS", 7)
+    encoder = bpe.Encoder(bpe.MergeTable(bpe.read_ranks(RANKS)).encode, regex.compile(public_tokenizers.PATTERN).findall)
+    for text in texts(300, 12):
+        assert "".join(bpe.parts(text)) == text
+        assert np.frombuffer(encoder.encode([text, "b"])[0], "<u4").tolist() == library.encode_ordinary(text)
 
 
 def test_a_merge_that_opens_one_of_lower_rank_waits():
@@ -46,6 +59,16 @@ def test_a_merge_that_opens_one_of_lower_rank_waits():
     rng = random.Random(3)
     words = ["".join(rng.choices("abcx", k=rng.randint(1, 12))) for _ in range(500)]
     assert table.replay([w.encode() for w in words]) == [encoding.encode_ordinary(w) for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in table.encode(words)] == [encoding.encode_ordinary(w) for w in words]
+
+
+@given(st.lists(st.text(alphabet="abcx", max_size=14), max_size=30), st.permutations(["ab", "bc", "abc", "xa", "ca", "aa", "aaa", "bca", "abx"]))
+@settings(max_examples=60, deadline=None)
+def test_array_replay_under_any_order_of_merges(words, tokens):
+    ranks = {bytes([b]): b for b in range(256)} | {t.encode(): 256 + k for k, t in enumerate(tokens)}
+    encoding = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    got = [np.frombuffer(x, "<u4").tolist() for x in bpe.MergeTable(ranks).encode(words)]
+    assert got == [encoding.encode_ordinary(w) for w in words]
 
 
 def test_encode_and_decode_frames(spark, library):
@@ -53,14 +76,18 @@ def test_encode_and_decode_frames(spark, library):
     docs = spark.createDataFrame(rows, "doc_id long, text string, decoded int")
     out = bpe.decode(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, bytes_col="raw").collect()
     assert {r["decoded"]: bytes(r["raw"]).decode() for r in out} == {1: "Hello  there\n", 2: "", 3: "", 4: "Hello  there\n"}
-    assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    both = bpe.encode(docs.withColumnRenamed("decoded", "Raw"), RANKS, public_tokenizers.PATTERN, decoded_col="raw").collect()
+    assert sorted((r["doc_id"], bytes(r["raw"]).decode()) for r in both) == [(1, "Hello  there\n"), (1, "Hello  there\n"), (2, ""), (3, "")]
+    assert bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN, decoded_col="raw").count() == 0
+    with pytest.raises(Exception, match="an id that the ranks do not have"):
+        bpe.decode(spark.sql("select unhex('ffffff00') as ids"), RANKS).collect()
 
 
 @pytest.mark.parametrize("shard_bytes", [200, 1 << 20])
 def test_id_files_come_back(spark, shard_bytes):
     model = Tokenizer.from_buffer(VOCABULARY)
-    model.encode_special_tokens = True
-    rows = [(i * 7 % 101, t, i) for i, t in enumerate(texts(80, 4))] + [(None, "nobody", 0), (500, None, 0)]
+    special = ["x <|endoftext|> y", "<|endoftext|>", "a <|endoftext|><|endoftext|>b <|endof", " <|endoftext|> the end"]
+    rows = [(i * 7 % 101, t, i) for i, t in enumerate(texts(80, 4) + special)] + [(None, "nobody", 0), (500, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int").repartition(3)
     files = token_ids.write_ids(docs, VOCABULARY, shard_bytes=shard_bytes)
     found = {r["key"]: (r["start"], r["n"], r["crc"]) for r in token_ids.read_ids(docs, files).collect()}
@@ -69,19 +96,34 @@ def test_id_files_come_back(spark, shard_bytes):
         ids = [*model.encode(text or "", add_special_tokens=False).ids, 0]
         assert found[None if key is None else str(key)] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    # one key is found in one file, at its place
+    few = spark.createDataFrame([(14,), (7777,)], "doc_id long")
+    (one,) = token_ids.read_ids(few, files).collect()
+    assert (one["start"], one["n"], one["crc"]) == found["14"]
     strangers = spark.createDataFrame([(k,) for k in range(1000, 3000)], "doc_id long")
-    assert token_ids.lookup(strangers, files).count() == 0
+    assert token_ids.lookup(strangers, files).count() == token_ids.read_ids(strangers, files).count() == 0
 
 
 def test_repeated_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "c")], "doc_id long, text string")
     files = token_ids.write_ids(docs, VOCABULARY)
     assert sorted((r["key"], r["start"]) for r in token_ids.read_ids(docs, files).collect()) == [("1", 0), ("1", 2), ("1", 4), ("2", 6)]
+    small = token_ids.write_ids(docs, VOCABULARY, shard_bytes=1)
+    assert sorted((r["key"], r["start"]) for r in token_ids.read_ids(docs, small).collect()) == [("1", 0), ("1", 2), ("1", 4), ("2", 6)]
     assert {r["key"]: r["copies"] for r in token_ids.lookup(docs, files).collect()} == {"1": 3, "2": 1}
     nothing = token_ids.write_ids(docs.limit(0), VOCABULARY)
     assert token_ids.read_ids(docs, nothing).count() == 0
 
 
+def test_many_places_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "doc_id long, text string")
+    files = token_ids.write_ids(docs, VOCABULARY, shard_bytes=200)
+    wanted = sorted(token_ids.read_ids(docs, files).collect())
+    assert len(wanted) == 60
+    monkeypatch.setattr(token_ids, "NAMED_PLACES", 10)
+    assert sorted(token_ids.read_ids(docs, files).collect()) == wanted
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 1000, 20_000):
@@ -104,8 +146,7 @@ def test_edits_count_as_a_full_count(library):
             wanted = doc.text[:a] + put + doc.text[b:]
             doc.edit(a, b, put)
             assert doc.text == wanted
-            leaves = [n for c, _ in doc.tree.leaves for n in c]
-            assert leaves == [len(w) for w in counter.pattern.findall(wanted)]
+            assert doc.tree.arrays()[0].tolist() == [len(w) for w in counter.pattern.findall(wanted)]
             assert doc.tree.n_tokens == len(library.encode_ordinary(wanted)) == doc.tree.tokens[1]
 
 
@@ -113,6 +154,7 @@ def test_edit_of_a_long_text_is_local():
     counter = token_counts.Counter(RANKS, public_tokenizers.PATTERN)
     doc = token_counts.Document("some words and more of them, " * 5000, counter)
     assert doc.edit(70_000, 70_003, "other") < 12
+    assert len(doc.tree.changed) <= 2  # all other chunks stay as they were
 
 
 def test_count_frames(spark, library):
