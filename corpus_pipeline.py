@@ -48,9 +48,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     """Token ids of each document left, as 32-bit integers, with the digest of the text that they decode to."""
     ranks = tokenizer_file(spark, path)
-    encoded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), ranks, public_tokenizers.PATTERN)
-    decoded = bpe.decode(encoded.drop("text"), ranks)
-    return decoded.select("doc_id", "source", "lang", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    done = bpe.encode(docs.select("doc_id", "source", "lang", "text"), ranks, public_tokenizers.PATTERN, decoded_col="decoded")
+    return done.select("doc_id", "source", "lang", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
