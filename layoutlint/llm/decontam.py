@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from layoutlint.llm.common import row_slices
+from layoutlint.llm.common import materialize, release, row_slices
 
 #: Lower-cases A-Z and blanks every ASCII byte that is neither a digit nor a letter.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,18 +91,15 @@ def scan(seq: list[bytes], tables: list[WuManber]) -> tuple[list[tuple[int, int]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    block, used = [], 0
-    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where(
-        F.col("t").isNotNull() & F.col("i").isNotNull()
-    )
-    for row in rows.toLocalIterator():
-        block.append((row["i"], row["t"]))
-        used += len(row["t"])
-        if used >= limit:
+    """The items in blocks of about ``limit`` bytes, dealt by a hash; the driver holds one at a time."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null and i is not null")
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = -(-total // limit)
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) if n > 1 else rows
+        block = [(r["i"], r["t"]) for r in part.collect()]
+        if block:
             yield block
-            block, used = [], 0
-    if block:
-        yield block
 
 
 def find_contamination(
@@ -118,8 +115,9 @@ def find_contamination(
     """``docs`` with ``n_words``, ``hit_spans`` (word ranges, merged) and ``items`` (ids found, as sorted strings).
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one. The benchmark is
-    the stated set of patterns: it goes to the tasks in blocks of ``block_bytes`` of text, each with its own
-    tables, so its size bounds memory nowhere; documents pass through once for each block, in one stage.
+    the stated set of patterns: it goes to the tasks in blocks of about ``block_bytes`` of text (a single longer item is a block of its own
+    size), each with its own tables. Driver and tasks hold one block at a time; with several, documents pass through once for each, and
+    what was found so far is written in between.
 
     Null or wordless text has no words and no hits; items with null text or null id are ignored, and so
     are wordless ones; items with equal texts are all reported. An empty benchmark gives documents
@@ -130,11 +128,15 @@ def find_contamination(
     spans_type = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     base = out.schema
     schema = T.StructType([*base.fields, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans_type), T.StructField("items", T.ArrayType(T.StringType()))])
-    blocks = list(_blocks(benchmark, item_col, item_text_col, block_bytes)) or [[]]
-    for k, block in enumerate(blocks):
+    again = None
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        if again is not None:
+            out = materialize(out, "scanned")
+            again.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_scanner(shared, text_col, window, again=k > 0), schema)
-    return out
+        out = out.mapInArrow(_scanner(shared, text_col, window, again=again is not None), schema)
+        again = shared
+    return out if again is not None else out.mapInArrow(_scanner(docs.sparkSession.sparkContext.broadcast([]), text_col, window, again=False), schema)
 
 
 def _scanner(shared, text_col: str, window: int, again: bool):
@@ -161,7 +163,7 @@ def _scanner(shared, text_col: str, window: int, again: bool):
                     [*names, "n_words", "hit_spans", "items"],
                 )
 
-    return run
+    return release(run, shared)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

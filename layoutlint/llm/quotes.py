@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from layoutlint.llm.common import materialize
+from layoutlint.llm.common import fresh, materialize
 
 #: Positions in a chunk of a conversation; no task needs more of one conversation at a time.
 CHUNK = 1024
@@ -18,8 +18,8 @@ ATTRIBUTION = r"(?i)^\s*(on\b.{0,200}\bwrote|.{1,100}\b(wrote|said|writes))\s*:\
 
 
 def parse(text: Column) -> Column:
-    """The lines of a text with their quote level and their content without the marks."""
-    lines = F.split(F.translate(F.coalesce(text, F.lit("")), "\x01\x02\r", "  "), "\n", -1)
+    """The lines of a text with their quote level and their content without the marks, all characters kept."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     marked = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, MARKS, 0).alias("m"), x.alias("x")))
     return F.transform(
         marked,
@@ -31,7 +31,7 @@ def parse(text: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    """Lower case, runs of white space as one blank, none at the ends."""
+    """Lower case, runs of white space as one blank, none at the ends; for comparison only."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
@@ -48,7 +48,7 @@ def body(parsed: Column) -> Column:
         lambda p: ~p["out"],
     )
     joined = F.array_join(F.transform(own, lambda p: p["line"]), "\n")
-    return F.regexp_replace(F.regexp_replace(joined, r"\A(?:[ \t]*\n)+", ""), r"\s+\z", "")
+    return F.regexp_replace(F.regexp_replace(joined, r"\A(?:[ \t\r]*\n)+", ""), r"\s+\z", "")
 
 
 def units(parsed: Column, scope: list[str], min_chars: int) -> Column:
@@ -56,6 +56,8 @@ def units(parsed: Column, scope: list[str], min_chars: int) -> Column:
 
     A passage is a run of lines of the same level without a blank one between; so a quote that was wrapped anew is still the same passage.
     """
+    # two control characters part the pieces here, and ends of lines may have a carriage return
+    parsed = F.transform(parsed, lambda p: F.struct(p["level"].alias("level"), F.translate(p["line"], "\x01\x02\r", "  ").alias("line")))
     pieces = F.transform(
         parsed,
         lambda p, i: F.concat(
@@ -112,7 +114,8 @@ def link_replies(
     ancestors and only count as linked. Units of fewer than ``min_chars`` characters only decide where no longer one of the message is
     found at level 1. A message that quotes nothing known follows, with ``follow``, the message before it.
     ``root_pos`` is the first message of its tree, and ``seq`` numbers a tree's messages by position; parents are always
-    earlier, so that is an order of replies. ``body`` has neither quotes nor the lines that introduce them.
+    earlier, so that is an order of replies. ``body`` has neither quotes nor the lines that introduce them, and is otherwise as it was written, but
+    for blank lines at its start and white space at its end.
 
     Several messages at one position share everything but their body. Null scope is a scope; messages without a position
     keep their body, have no parent and are no parent. Null text has an empty body. Other columns pass through, but for those named like the
@@ -123,6 +126,7 @@ def link_replies(
     rest = messages.drop(*[c for c in messages.columns if c.lower() in added])
     read = messages.select(F.col(scope).alias("s"), F.col(pos).cast("long").alias("p"), parse(F.col(text_col)).alias("lines"))
     unit = read.select("s", "p", F.explode(units(F.col("lines"), ["s"], min_chars)).alias("u")).select("s", "p", "u.*").where("p is not null")
+    unit = materialize(unit, "units")
     quoted = unit.where("level > 0").distinct()
     own = unit.where("level = 0").select("s", "p", "a", "b").distinct().join(quoted.select("a", "b").distinct(), ["a", "b"], "left_semi")
     marks = own.withColumns({"level": F.lit(0), "long": F.lit(False)}).unionByName(quoted)
@@ -161,12 +165,15 @@ def link_replies(
     offsets = chunked.groupBy("s", "at", "c").agg(F.count(F.lit(1)).alias("n")).selectExpr("s as os", "at as oat", "c as oc", f"sum(n) over (partition by s, at order by c) - n as before")
     ranked = chunked.withColumn("r", F.expr("row_number() over (partition by s, at, c order by p)"))
     ranked = ranked.join(offsets, F.expr("s <=> os and at = oat and c = oc")).selectExpr("s", "p", "at", "steps", "r - 1 + before as seq")
-    tree = materialize(nodes.alias("n").join(ranked.alias("r"), same("n", "r")).selectExpr("n.s as __s", "n.p as __p", "n.parent as __parent", "n.by as __by", "n.linked as __linked", "r.at as __at", "r.steps as __steps", "r.seq as __seq"), "trees")
-    parsed = rest.withColumn("__lines", parse(F.col(text_col)))
-    out = parsed.join(tree, F.col(scope).eqNullSafe(F.col("__s")) & (F.col(pos).cast("long") == F.col("__p")), "left")
-    levels = F.transform("__lines", lambda x: x["level"])
+    lines, ts, tp = fresh(rest, "parsed_lines", "tree_scope", "tree_pos")
+    found = fresh(rest, "tree_parent", "tree_by", "tree_linked", "tree_root", "tree_steps", "tree_seq")
+    values = ("n.parent", "n.by", "n.linked", "r.at", "r.steps", "r.seq")
+    tree = nodes.alias("n").join(ranked.alias("r"), same("n", "r"))
+    tree = materialize(tree.selectExpr(f"n.s as {ts}", f"n.p as {tp}", *[f"{v} as {c}" for v, c in zip(values, found, strict=True)]), "trees")
+    out = rest.withColumn(lines, parse(F.col(text_col))).join(tree, F.col(scope).eqNullSafe(F.col(ts)) & (F.col(pos).cast("long") == F.col(tp)), "left")
+    parent, by, linked, root, steps, seq = (F.col(c) for c in found)
+    levels = F.transform(lines, lambda x: x["level"])
     return out.select(
-        *rest.columns, F.col("__parent").alias("parent_pos"), F.col("__by").alias("by"), F.col("__at").alias("root_pos"), F.col("__steps").alias("depth"),
-        F.col("__seq").alias("seq"), body(F.col("__lines")).alias("body"), F.size(F.filter(levels, lambda x: x > 0)).cast("long").alias("quoted_lines"),
-        F.array_max(levels).alias("quote_depth"), F.coalesce("__linked", F.lit(0).cast("long")).alias("linked"),
+        *rest.columns, parent.alias("parent_pos"), by.alias("by"), root.alias("root_pos"), steps.alias("depth"), seq.alias("seq"), body(F.col(lines)).alias("body"),
+        F.size(F.filter(levels, lambda x: x > 0)).cast("long").alias("quoted_lines"), F.array_max(levels).alias("quote_depth"), F.coalesce(linked, F.lit(0).cast("long")).alias("linked"),
     )

@@ -51,7 +51,7 @@ class LibraryEncoder:
         self.n_bytes = np.zeros(self.model.get_vocab_size(), np.int64)
         for token, i in self.model.get_vocab().items():
             self.n_bytes[i] = len(token)
-        self.pieces = Encoder(self._ids_of_pieces, max_bytes=2 * CACHE_BYTES)
+        self.pieces = Encoder(self._ids_of_pieces, max_bytes=4 * CACHE_BYTES)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, self.width) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layoutlint.llm.common import fresh, order_bounds, range_bucket
 
 #: Characters in a gram, and grams in a window: any passage of GRAM + WINDOW - 1 characters that two texts share gives a common fingerprint.
 GRAM = 6
 WINDOW = 4
+#: Text for a range of keys, about, and the most ranges, whose bounds are part of the plan.
+RANGE_BYTES, MOST_RANGES = 64 << 20, 10_000
 _POSITIONS = (1 << 31) - 1
 
 
@@ -35,6 +38,9 @@ def _runs(values: Column, n: int, join) -> Column:
 def _grams(text: Column, k: int) -> Column:
     """Hashes of the runs of ``k`` characters, 32 bits, each above its position counted down from the last possible one.
 
+    Hashes of longer runs are put together from those of shorter ones, by doubling: about log2(k) steps for a position, each on all
+    positions at once, where a rolling hash takes one step but a loop over positions, which SQL functions cannot keep in arrays.
+
     So the least of several is the one of the least hash and, among equal hashes, of the rightmost position.
     """
 
@@ -107,22 +113,28 @@ def with_next(
 
     ``derive`` adds columns to a frame, whose next values are given too; it is applied once to each row.
 
-    Rows are dealt to ranges of keys and ordered there. The first row of each range is small and goes, as a
-    sentinel, behind the last row of the range before. Equal keys follow one another by a hash of the columns. Null keys come first. A
-    table of one row is its own next.
+    Rows are dealt to ranges of keys, one for each ``RANGE_BYTES`` of their strings but at most ``MOST_RANGES``, and ordered there. The first row of each range is small and goes, as a
+    sentinel, behind the last row of the range before. The key is a column of integers. Equal keys follow one another by a hash of the columns. Null keys come
+    first. A table of one row is its own next, an empty one gives an empty result. Columns named like the added ones are replaced.
     """
+    if not isinstance(docs.schema[key_col].dataType, T.IntegralType):
+        raise TypeError(f"{key_col} must be a column of integers")
     spark = docs.sparkSession
-    parts = parts or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    part, end, tie = fresh(docs, "key_range", "is_sentinel", "tie_hash")
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {(prefix + x).lower() for x in columns}])
+    if parts is None:
+        strings = [F.coalesce(F.octet_length(c), F.lit(0)) for c in columns if isinstance(docs.schema[c].dataType, T.StringType)]
+        total = docs.agg(F.sum(sum(strings, F.lit(8)))).first()[0] or 0
+        parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-total // RANGE_BYTES)))
+    part, end, tie, to, first, key, hashed = fresh(docs, "key_range", "is_sentinel", "tie_hash", "range_to", "range_first", "range_key", "range_hash")
     ranged = docs.withColumns(
         {part: range_bucket(F.col(key_col), order_bounds(docs, key_col, parts)), end: F.lit(0), tie: F.xxhash64(*[F.col(c) for c in columns])}
     )
     # the first row of each range: its key and tie hash by a narrow aggregate, its columns by a join with those few
     narrow = ranged.groupBy(part).agg(F.min(F.struct(F.col(key_col).isNotNull().alias("n"), F.col(key_col).alias("k"), F.col(tie).alias("t"))).alias("f"))
-    ring = narrow.selectExpr(f"coalesce(lag({part}) over (order by {part}), max({part}) over ()) as __to", f"{part} as __part", "f.k as __k", "f.t as __t")
+    ring = narrow.selectExpr(f"coalesce(lag({part}) over (order by {part}), max({part}) over ()) as {to}", f"{part} as {first}", f"f.k as {key}", f"f.t as {hashed}")
     sentinel = (
-        ranged.join(F.broadcast(ring) if parts <= 10_000 else ring, F.expr(f"{part} = __part and {tie} = __t and `{key_col}` <=> __k"))
-        .drop(part, end).withColumnsRenamed({"__to": part}).withColumn(end, F.lit(1))
+        ranged.join(F.broadcast(ring), F.expr(f"{part} = {first} and {tie} = {hashed} and `{key_col}` <=> {key}"))
+        .drop(part, end).withColumnsRenamed({to: part}).withColumn(end, F.lit(1))
         .select(part, end, tie, *dict.fromkeys([key_col, *columns]))
     )
     rows = ranged.unionByName(sentinel, allowMissingColumns=True)

@@ -62,7 +62,7 @@ def test_wu_manber_against_brute_force():
             assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
 
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
 def test_contamination_in_blocks(spark, block_bytes):
     items = [(1, "one two three four"), (2, "One, two; three FOUR!"), (3, None), (4, "..."), (10, "nine"), (None, "one two")]
     docs = spark.createDataFrame([(1, "say one two three four five nine", 7), (2, None, 7), (3, "", 7), (1, "nothing é", 7)], "doc_id long, text string, items int")
@@ -120,11 +120,70 @@ def test_each_language_has_its_own_training_sample(spark):
     counts = lambda texts: sum(np.bincount(ids, minlength=2**langid.BITS) for t in texts for ids in langid.gram_ids(t))
     for k, x in enumerate(whole.languages):
         want = counts({t for t, lang in rows if lang == x}) + 0.1
-        assert np.allclose(whole.log_prob[:, k], np.log(want / want.sum()))
-    assert np.array_equal(whole.log_prob[:, 1], part.log_prob[:, 1]) and not np.array_equal(whole.log_prob[:, 0], part.log_prob[:, 0])
+        assert np.allclose(whole.blocks[0][:, k], np.log(want / want.sum()), atol=1e-5)
+    a, b = whole.blocks[0], part.blocks[0]
+    assert np.array_equal(a[:, 1], b[:, 1]) and not np.array_equal(a[:, 0], b[:, 0])
     assert part.predict([say("vwxyz", 5), say("abcde", 5), "edcba"])[0] == ["zz", "aa", "aa"]
 
 
+def test_languages_in_blocks_and_posterior_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+    langs = {f"l{k}": [chr(97 + (3 * k + j) % 26) for j in range(4)] for k in range(7)}
+    say = lambda x, n: " ".join("".join(rng.choices(langs[x], k=rng.randint(1, 5))) for _ in range(n))
+    rows = [(say(x, 8), x) for x in langs for _ in range(rng.randint(3, 9))]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    tests = [say(x, rng.randint(1, 9)) for x in langs for _ in range(4)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(tests)], "doc_id long, text string")
+    # the definition: shares of languages times the probabilities of all n-grams of the text
+    counts, seen = {}, Counter(x for _, x in rows)
+    for x in langs:
+        counts[x] = Counter()
+        for t in {t for t, y in rows if y == x}:
+            counts[x].update(brute_grams(t))
+    want = []
+    for t in tests:
+        joint = {}
+        for x, c in counts.items():
+            total = sum(c.values()) + 0.1 * 2**langid.BITS
+            joint[x] = np.log(seen[x] / len(rows)) + sum(n * np.log((c[g] + 0.1) / total) for g, n in brute_grams(t).items())
+        best = max(sorted(joint), key=joint.get)
+        want.append((best, 1 / sum(np.exp(v - joint[best]) for v in joint.values())))
+    for block, held in ((64, 4), (2, 4), (2, 1)):
+        monkeypatch.setattr(langid, "BLOCK_LANGUAGES", block)
+        monkeypatch.setattr(langid, "HELD_BLOCKS", held)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(frame, langid.train(docs)).collect()}
+        assert [got[k][0] for k in range(len(tests))] == [x for x, _ in want]
+        assert np.allclose([got[k][1] for k in range(len(tests))], [v for _, v in want], atol=1e-3)
+
+
+def test_clashing_names(spark):
+    line = long_line(1)
+    names = ["n_lines", "Changed", "__id", "drop_hashes", "all_lines", "id", "a", "b", "n", "salt", "top"]
+    lines = spark.createDataFrame([(i, line, *[7] * len(names)) for i in range(6)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    out = line_dedup.dedup_lines(lines)
+    assert len(set(out.columns)) == len(out.columns) and "Changed" not in out.columns
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["salt"], r["id"]) for r in out.collect()) == [(i, 1, int(i < 5), 7, 7) for i in range(6)]
+    names = ["next_text", "__part", "key_range", "range_to", "range_first", "__to", "__k"]
+    rows = spark.createDataFrame([(i, f"text {i}", *["x"] * len(names)) for i in range(5)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = {r["doc_id"]: (r["next_text"], r["key_range"], r["__k"]) for r in winnowing.with_next(rows, "doc_id", ["text"], parts=3).collect()}
+    assert got == {i: (f"text {(i + 1) % 5}", "x", "x") for i in range(5)}
+    with pytest.raises(TypeError):
+        winnowing.with_next(rows.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", ["text"])
+    names = ["__s", "__p", "__lines", "__at", "parsed_lines", "tree_scope", "tree_pos", "tree_root", "s", "p", "seq"]
+    talk = spark.createDataFrame([(1, i, t, *["x"] * len(names)) for i, t in enumerate(["one\rtwo \x01 end\r\nlast", "> one\rtwo   end\n> last\nyes"])], "conv_id long, turn long, text string, " + ", ".join(f"{c} string" for c in names))
+    got = {r["turn"]: r for r in quotes.link_replies(talk).collect()}
+    assert got[0]["body"] == "one\rtwo \x01 end\r\nlast" and got[1]["body"] == "yes" and got[1]["__s"] == got[1]["tree_root"] == got[1]["__lines"] == "x"
+    assert [got[k]["seq"] for k in (0, 1)] == [0, 1] and got[1]["parent_pos"] == 0
+
+
+def test_heavy_lines_are_dealt_out(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{long_line(1)}\n{long_line(2 + i % 3)}\nown {i}") for i in range(60)] + [(None, long_line(1))], "doc_id long, text string")
+    want = sorted(line_dedup.dedup_lines(docs).collect(), key=repr)
+    monkeypatch.setattr(line_dedup, "HEAVY_HOLDERS", 15)
+    monkeypatch.setattr(line_dedup, "HEAVY_LINES", 100)
+    assert sorted(line_dedup.dedup_lines(docs).collect(), key=repr) == want
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randint(0, 99), rng.randint(0, 99)) for _ in range(70)] + [(k, k + 1) for k in range(200, 260)]
