@@ -54,15 +54,16 @@ class MergeTable:
         if None in self.single:
             raise ValueError("the ranks lack single bytes")
         self.whole = ranks.get
-        self.merged: dict[int, int] = {}
+        merged: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    self.merged[a << 32 | b] = rank
-        keys = np.fromiter(self.merged, np.int64, len(self.merged))
-        ranks_of = np.fromiter(self.merged.values(), np.int64, len(self.merged))
-        # the same pairs for arrays: a hash table with linear probing, at most a quarter full
+                    merged[a << 32 | b] = rank
+        self._merged: dict[int, int] | None = None
+        keys = np.fromiter(merged, np.int64, len(merged))
+        ranks_of = np.fromiter(merged.values(), np.int64, len(merged))
+        # a hash table with linear probing, at most a quarter full
         bits = max(4, int(4 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.pairs, self.pair_ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NEVER, np.int64)
@@ -74,6 +75,14 @@ class MergeTable:
             self.pair_ranks[at[stays]] = ranks_of[stays]
             keys, ranks_of, at = keys[~stays], ranks_of[~stays], (at[~stays] + 1) & self.mask
 
+    @property
+    def merged(self) -> dict[int, int]:
+        """The same pairs as a dictionary, which only long words need."""
+        if self._merged is None:
+            full = self.pairs >= 0
+            self._merged = dict(zip(self.pairs[full].tolist(), self.pair_ranks[full].tolist(), strict=True))
+        return self._merged
+
     def _slot(self, pairs: np.ndarray) -> np.ndarray:
         return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -100,7 +109,7 @@ class MergeTable:
         left = [k for k, w in enumerate(coded) if whole[k] is None and w]
         short = [k for k in left if len(coded[k]) <= _SHORT]
         long = [k for k in left if len(coded[k]) > _SHORT]
-        for k, ids in zip(long, self.replay([coded[k] for k in long]), strict=True):
+        for k, ids in zip(long, self.replay([coded[k] for k in long]) if long else [], strict=True):
             out[k] = struct.pack(f"<{len(ids)}I", *ids)
         for at in range(0, len(short), _TOGETHER):
             some = short[at : at + _TOGETHER]
@@ -445,6 +454,7 @@ def encode(
 
     def tables() -> tuple[Encoder, list[bytes | None]]:
         encoder = Encoder(MergeTable(read_ranks(shared.value)).encode, regex.compile(pattern).findall, words.value)
+        words.__dict__.pop("_value", None)
         return encoder, _vocabulary(shared.value) if decoded_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -67,7 +68,7 @@ def release(run, *shared, keep: str | None = None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key in [k for k in _kept if k != keep]:
             del _kept[key]
-        gc.collect()
+            _trim()
         # batches make no cycles, and walking the tables again and again costs a lot
         gc.disable()
         try:
@@ -78,10 +79,19 @@ def release(run, *shared, keep: str | None = None):
                 x.__dict__.pop("_value", None)
             gc.collect()
             pa.default_memory_pool().release_unused()
+            _trim()
 
     return task
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with those of ``df`` (case-insensitively), one for each wanted name."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -12,7 +12,7 @@ from layoutlint.llm import bpe, decontam, langid, line_dedup, minhash, quotes, s
 
 
 #: Bytes of an Arrow batch in the sessions of these queries: JVM and Python worker hold one or two each.
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
