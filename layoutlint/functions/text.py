@@ -55,6 +55,11 @@ MARKER_HEAD_CHARS = 10
 DROP_CHARS = 120
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def non_ws(s: Column) -> Column:
     return F.regexp_replace(s, f"[{CONTENT_SPACE}]", "")
 

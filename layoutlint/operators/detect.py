@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layoutlint import storage
 from layoutlint.functions import numbering, text as t
 
 #: All kinds in the order of their detection; the last has no repair.
@@ -253,7 +254,8 @@ DETECTORS = {rule.__name__: (lambda a, rule=rule: by_rules(a, [rule])) for rule
 
 def detect(items: DataFrame, *, annotated: DataFrame | None = None) -> DataFrame:
     """The suspects of all kinds. ``items`` has the columns of a content list, keyed by ``doc_id`` and ``ord``; ``annotated`` may be given instead."""
-    a = annotate(items) if annotated is None else annotated
+    # written once: the detectors that count or join would each work it out again from the source
+    a = storage.saved(annotate(items)) if annotated is None else annotated
     return reduce(DataFrame.unionByName, [by_rules(a, ROW_RULES), *[f(a) for f in JOINED]])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layoutlint import oracles as o
+from layoutlint import oracles as o, storage
 from layoutlint.operators import confusion, detect, gates, markdown, mechanical, ops, windows
 from layoutlint.plans import policy, refine
 from layoutlint.sources import derived
@@ -27,7 +27,13 @@ def query(name: str, sql: str | None = None):
 
 
 def _detector(kind: str):
-    return lambda spark, sf_dir: detect.DETECTORS[kind](detect.annotate(derived.items(spark, sf_dir)))
+    joined = kind in {f.__name__ for f in detect.JOINED}
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a = detect.annotate(derived.items(spark, sf_dir))
+        return detect.DETECTORS[kind](storage.saved(a) if joined else a)
+
+    return run
 
 
 for _kind in detect.KINDS:
@@ -111,13 +117,13 @@ def level_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    items = derived.items(spark, sf_dir)
-    suspects = detect.DETECTORS[kind](detect.annotate(items))
-    return items, policy.decide(suspects), suspects
+    items = storage.saved(derived.items(spark, sf_dir))
+    suspects = storage.saved(detect.DETECTORS[kind](storage.saved(detect.annotate(items))))
+    return items, policy.decide(suspects, policy.VISION_RULES), suspects
 
 
 def _digest_sql(select: str, kind: str | None = None) -> str:
-    suspects = f", sus as ({o.SUSPECTS[kind]})" if kind else ""
+    suspects = f", sus as materialized ({o.SUSPECTS[kind]})" if kind else ""
     return f"with {o.ANNOTATED}{suspects}{select}"
 
 
@@ -285,8 +291,7 @@ def drop_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading, table, caption instead of caption, heading, table where the three lie side by side."""
-    items = derived.items(spark, sf_dir)
-    s = detect.DETECTORS["separated_caption"](detect.annotate(items))
+    items, _, s = _decided(spark, sf_dir, "separated_caption")
     return ops.reorder(items, s.select("doc_id", "ord", F.array("next_ord", "value", "ord").alias("ords"))).items.select("doc_id", "ord", "type", "text")
 
 
@@ -417,7 +422,7 @@ _ADDED = "select *, text || case when ord % 7 = 0 and doc_id like 'D%3' then '#'
     f"with {o.DUCK_ITEMS}, later as (select * replace (text2 as text) from ({_ADDED})), b as (select doc_id, ch, count(*) as n from ({_CHARS}items) where ch <> '' group by 1, 2), a as (select doc_id, ch, count(*) as n from ({_CHARS}later) where ch <> '' group by 1, 2) select a.doc_id, 'more of ' || string_agg(a.ch, '' order by a.ch) as reason from a left join b on a.doc_id = b.doc_id and a.ch = b.ch where a.n > coalesce(b.n, 0) group by a.doc_id",
 )
 def char_subset_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = derived.items(spark, sf_dir)
+    items = storage.saved(derived.items(spark, sf_dir))
     later = items.withColumn("text", F.expr("text || case when ord % 7 = 0 and doc_id like 'D%3' then '#' else '' end"))
     return gates.char_subset(items, later)
 
@@ -425,14 +430,14 @@ def char_subset_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("table_body_gate", f"with {o.DUCK_ITEMS} select distinct doc_id, 'table bytes' as reason from items where table_body is not null and ord % 11 = 0 and doc_id like 'O%2'")
 def table_body_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some tables get a row that was nowhere before."""
-    items = derived.items(spark, sf_dir)
+    items = storage.saved(derived.items(spark, sf_dir))
     later = items.withColumn("table_body", F.expr("case when ord % 11 = 0 and doc_id like 'O%2' then replace(table_body, '</table>', '<tr><td>new</td></tr></table>') else table_body end"))
     return gates.table_bodies(items, later)
 
 
 @query("geometry_gate", f"with {o.DUCK_ITEMS} select distinct doc_id, 'geometry' as reason from items where ord % 13 = 5 and doc_id like '%4'")
 def geometry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = derived.items(spark, sf_dir)
+    items = storage.saved(derived.items(spark, sf_dir))
     later = items.withColumn("page_idx", F.expr("case when ord % 13 = 5 and doc_id like '%4' then 1000000 else page_idx end"))
     return gates.geometry(items, later)
 
