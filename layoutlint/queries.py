@@ -444,10 +444,10 @@ def geometry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("refine_policy_counts")
 def refine_policy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions by rewrite and document of the whole repair loop."""
-    return refine.refine(derived.items(spark, sf_dir))[1]
+    """Rewrites done, by kind and document, of the whole repair loop."""
+    return refine.refine(derived.items(spark, sf_dir)).report
 
 
 @query("refine_markdown")
 def refine_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown.render(refine.refine(derived.items(spark, sf_dir))[0])
+    return markdown.render(refine.refine(derived.items(spark, sf_dir)).items)

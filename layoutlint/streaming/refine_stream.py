@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from layoutlint.plans import refine
 from layoutlint.sources import content_lists
 
+LOG = logging.getLogger("layoutlint")
+
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A streaming frame of ``doc_id`` (file path) and ``content``."""
@@ -23,8 +27,10 @@ def refine_stream(files: DataFrame, out: str, checkpoint: str, **options) -> Str
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        items, report = refine.refine(content_lists.parse_items(df), **options)
-        items.write.mode("overwrite").parquet(f"{out}/items/batch={number}")
-        report.write.mode("overwrite").parquet(f"{out}/report/batch={number}")
+        done = refine.refine(content_lists.parse_items(df), **options)
+        done.items.write.mode("overwrite").parquet(f"{out}/items/batch={number}")
+        done.report.write.mode("overwrite").parquet(f"{out}/report/batch={number}")
+        for row in done.progress:
+            LOG.info("batch %d, round %d: %d suspects left", number, row["round"], row["remaining"])
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
