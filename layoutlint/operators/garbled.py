@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from layoutlint.functions import text as t
-from layoutlint.operators.mechanical import CELL
+from layoutlint.operators.mechanical import CELL, build_row, parse_row
 
 # --- fixed values ---
 HANZI = "[一-鿿]"
 WORD_LENGTHS = (4, 3, 2)
 COVERAGE, SAMPLE_CHARS = 0.55, 24
-CELL_CHARS, RENDER_CHARS, REWRITABLE = 256, 8000, 0.75
+CELL_CHARS, RENDER_CHARS, CELL_OVERHEAD, REWRITABLE = 256, 8000, 8, 0.75
 NUMERIC = r"^[0-9 .,，%‰/:：~±+\-()（）]+\z"
 
 
@@ -120,3 +120,30 @@ def judge_proposals(items: DataFrame, proposals: DataFrame, words: DataFrame) ->
     better = old.join(new, table).where("now > was").select(*table, F.lit(True).alias("better"))
     p = p.join(better, table, "left")
     return p.select(*keys, "text", "new", F.when((F.col("verdict") == "ok") & F.col("better").isNull(), "no_gain").otherwise(F.col("verdict")).alias("verdict"))
+
+
+def targets(items: DataFrame, words: DataFrame) -> DataFrame:
+    """Garbled tables that can be read again from their picture: ``doc_id, ord, img_path, coverage``. Their cells, with ``CELL_OVERHEAD`` characters for each, must
+    fit into ``RENDER_CHARS``."""
+    bad = garbled_tables(items, words).select("doc_id", "ord", "coverage")
+    tables = items.join(bad, ["doc_id", "ord"]).where(F.length(F.coalesce("img_path", F.lit(""))) > 0)
+    size = cell_texts(tables).groupBy("doc_id", "ord").agg(F.sum(F.length("text") + CELL_OVERHEAD).alias("size")).where(F.col("size") <= RENDER_CHARS)
+    return tables.join(size.select("doc_id", "ord"), ["doc_id", "ord"], "left_semi").select("doc_id", "ord", "img_path", "coverage")
+
+
+def escape_cell_text(s: Column) -> Column:
+    return F.replace(s, F.lit("&"), F.lit("&amp;"))
+
+
+def apply_proposals(items: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items with the cells that :func:`judge_proposals` found ``ok`` rewritten, and the rewrites (``doc_id, ord, row, col, before, after``). All other bytes of a table stay."""
+    ok = judged.where("verdict = 'ok'").select("doc_id", "ord", "row", "col", F.col("text").alias("before"), F.col("new").alias("after"))
+    entry = F.struct(F.concat_ws(":", "row", "col").alias("k"), escape_cell_text(F.col("after")).alias("v"))
+    maps = ok.groupBy("doc_id", "ord").agg(F.map_from_entries(F.collect_list(entry)).alias("new_cells"))
+    joined = items.join(maps, ["doc_id", "ord"], "left")
+    put = lambda row, i: row.withField("cells", F.transform(row["cells"], lambda c, k: F.coalesce(F.try_element_at("new_cells", F.concat_ws(":", i, k)), c)))
+    rows = F.transform(F.transform(t.table_rows(F.col("table_body")), parse_row), put)
+    gaps = F.split("table_body", t.TABLE_ROW)
+    body = t.let(F.transform(rows, build_row), lambda built: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(built, i), F.lit("")))), ""))
+    out = joined.withColumn("table_body", F.when(F.col("new_cells").isNull(), F.col("table_body")).otherwise(body))
+    return out.select(items.columns), ok

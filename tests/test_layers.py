@@ -124,3 +124,17 @@ def test_stream(spark, tmp_path):
     assert [r["text"] for r in spark.read.parquet(str(tmp_path / "out" / "items")).collect()] == ["half a sentence that ends here."]
     report = spark.read.parquet(str(tmp_path / "out" / "report")).select("op", F.col("n")).collect()
     assert [tuple(r) for r in report] == [("merge", 1)]
+
+
+def test_targets_and_rewritten_cells(spark):
+    words = spark.createDataFrame([("船舶",), ("登记",)], "word string")
+    noise = "丂丄丅丆丏丒丗丟丠両丣" * 3
+    body = f"<table>\n<tr><td>{noise}</td><td>x</td></tr>\n<tr><td a='1'>old</td></tr>\n</table>"
+    items = content_lists.items_from_rows(spark, [
+        {"doc_id": "d", "ord": k, "type": "table", "table_body": body, "img_path": path} for k, path in enumerate(["a.png", None])
+    ] + [{"doc_id": "d", "ord": 2, "type": "table", "table_body": body.replace("old", "o" * 8000), "img_path": "b.png"}])
+    assert [(r["ord"], r["img_path"]) for r in garbled.targets(items, words).collect()] == [(0, "a.png")]
+    judged = spark.createDataFrame([("d", 0, 1, 0, "old", "R&D", "ok"), ("d", 0, 0, 1, "x", "y", "numeric")], "doc_id string, ord long, row int, col int, text string, new string, verdict string")
+    out, done = garbled.apply_proposals(items, judged)
+    assert {r["ord"]: r["table_body"] for r in out.collect()} == {0: body.replace("old", "R&amp;D"), 1: body, 2: body.replace("old", "o" * 8000)}
+    assert [tuple(r) for r in done.collect()] == [("d", 0, 1, 0, "old", "R&D")]
