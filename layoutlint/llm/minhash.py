@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layoutlint.llm.common import fresh, materialize
@@ -192,7 +192,7 @@ def _left_over(rows: DataFrame, near_hub: DataFrame, sets: DataFrame, share: int
 
     With ``a`` and ``b`` shingles in common with the hub, two nodes share at most ``min(a, b)`` of the hub's and, besides, what they
     share of others. So either ``min(a, b)`` alone is enough for a link, which is rare since one of the two is not linked to the hub,
-    or they have a shingle in common that the hub has not, and an equi-join on those finds them.
+    or they have a shingle in common that the hub has not, and an equi-join finds them on those of :func:`_prefixes`.
     """
     to_hub = near_hub.select(F.col("u").alias("node"), F.col("v").alias("hub"), "i")
     rows = rows.join(to_hub, ["node", "hub"], "left").withColumn("a", F.coalesce("i", "n")).drop("i")
@@ -203,21 +203,28 @@ def _left_over(rows: DataFrame, near_hub: DataFrame, sets: DataFrame, share: int
     at_hub = rows.select("hub", "node", "n", "c", "root", "a").distinct()
     own = at_hub.join(sets.select("node", "shingles"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hs")), "hub")
     own = own.select("hub", "node", "n", "c", "root", "a", F.explode(F.array_except("shingles", "hs")).alias("s"))
-    own = materialize(own.join(own.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("hub", "s"), ["hub", "s"], "left_semi"), "rare")
-    # a node shares at most ``a`` of the hub's and its ``r`` others: too few even for the smallest partner, and it is out
-    least = at_hub.groupBy("hub").agg(F.min("n").alias("lo"))
-    fit = own.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("r"), F.first("n").alias("n"), F.first("a").alias("a")).join(least, "hub")
-    fit = fit.where(f"{100 + share} * (a + r) >= {share} * (n + lo)").select("hub", "node", "r")
-    own = own.join(fit, ["hub", "node"])
-    at_most = f"{100 + share} * (least(x.a, y.a) + least(x.r, y.r)) >= {share} * (x.n + y.n)"
-    both = own.alias("x").join(own.alias("y"), F.expr(f"x.hub = y.hub and x.s = y.s and {sized} and {at_most}"))
-    both = both.groupBy("x.hub", F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(
-        F.count(F.lit(1)).alias("k"), F.max(F.least("x.a", "y.a")).alias("a"), F.max(F.col("x.n") + F.col("y.n")).alias("n")
-    )
-    both = both.where(f"{100 + share} * (a + k) >= {share} * n").select("u", "v")
+    own = materialize(own.join(own.groupBy("hub", "s").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), ["hub", "s"]), "rare")
+    own = _prefixes(own, at_hub.groupBy("hub").agg(F.min("n").alias("lo")), share)
+    # at the first shingle in common, each has at most those from there on in common with the other
+    at_most = f"{100 + share} * (least(x.a, y.a) + least(x.r - x.p, y.r - y.p) + 1) >= {share} * (x.n + y.n)"
+    both = own.alias("x").join(own.alias("y"), F.expr(f"x.hub = y.hub and x.s = y.s and {sized} and {at_most}")).selectExpr("x.node as u", "y.node as v")
     return close.unionByName(both).distinct()
 
 
+def _prefixes(own: DataFrame, least: DataFrame, share: int) -> DataFrame:
+    """Of each node's ``r`` shingles ``s`` that its hub has not, those, by their place ``p``, of which a linked node has one, at least.
+
+    A node with ``n`` shingles, of which the hub has ``a``, needs ``q`` of the others in common even with the smallest partner. Ordered
+    by the number ``k`` of nodes that have them, rarest first, and then by value, the first that two linked nodes share is followed by
+    ``q - 1`` others in both. So the last ``q - 1`` of a node can go, and these are the frequent ones, which many nodes would meet at.
+    """
+    rarest = Window.partitionBy("hub", "node").orderBy("k", "s")
+    own = own.withColumns({"p": F.row_number().over(rarest).cast("long"), "r": F.count(F.lit(1)).over(Window.partitionBy("hub", "node"))})
+    partner = f"greatest(lo, (n * {share} + 99) div 100)"
+    q = F.expr(f"greatest(1L, (({share} * (n + {partner}) + {99 + share}) div {100 + share}) - a)")
+    return own.join(least, "hub").where(F.col("p") + q <= F.col("r") + 1).drop("lo", "k")
+
+
 def _fits(x: str, y: str, share: int) -> str:
     """That two nodes' sizes and common shingles allow a link."""
     return (

@@ -255,6 +255,30 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_left_over_pairs_meet_at_rare_shingles_only(spark):
+    rng = random.Random(12)
+    hub, common = list(range(100)), list(range(1000, 1018))
+    sets = {"hub": hub}
+    for i in range(60):
+        # 70 shingles of the hub, 18 that all have and 12 that few have; some are alike in all of these
+        pool = random.Random(i // 3 if i < 12 else i)
+        sets[f"n{i}"] = sorted([*pool.sample(hub, 70), *common, *pool.sample(range(2000, 2300), 12)])
+    for i in range(0, 12, 3):
+        sets[f"n{i}"] = sorted({*sets[f"n{i}"], *rng.sample(range(5000, 6000), 5)})
+    frame = spark.createDataFrame([(k, len(v), v) for k, v in sets.items()], "node string, n long, shingles array<long>")
+    rows = frame.selectExpr("1L as tkey", "node", "'hub' as hub", "n", "n as c", "node as root", "'hub' as main")
+    near_hub = minhash._common(frame.where("node <> 'hub'").selectExpr("node as u", "'hub' as v"), frame)
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})}
+    found = {(r["u"], r["v"]) for r in minhash._left_over(rows, near_hub, frame, 80).collect()}
+    assert len(alike) == 12 and alike <= found
+    # what all have in common is left out, where the rest decides: else each of the 1,770 pairs meets there 18 times
+    own = [("hub", k, len(v), len(v), k, sum(s in hub for s in v), s) for k, v in sets.items() if k != "hub" for s in v if s not in hub]
+    count = Counter(s for *_, s in own)
+    own = spark.createDataFrame([(*x, count[x[-1]]) for x in own if count[x[-1]] > 1], "hub string, node string, n long, c long, root string, a long, s long, k long")
+    kept = minhash._prefixes(own, spark.createDataFrame([("hub", 100)], "hub string, lo long"), 80).collect()
+    assert kept and not {r["s"] for r in kept} & {*common}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 1000])
 def test_permutation_and_its_inverse(spark, n):
     rows = spark.range(n).select(F.col("id").alias("x"), F.lit(n).cast("long").alias("n"))
