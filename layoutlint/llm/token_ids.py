@@ -20,7 +20,7 @@ from layoutlint.llm.common import kept, materialize, new_path, release, row_slic
 from layoutlint.llm.vec import mix
 
 #: Text for a shard, about. A shard is a file; readers hold one at a time.
-SHARD_TEXT_BYTES = 16 << 20
+SHARD_TEXT_BYTES = 8 << 20
 #: Keys in a part of the index, about.
 INDEX_KEYS = 50_000
 #: At most so many shards are opened by name and so many places told to the readers; a request for more reads all files.

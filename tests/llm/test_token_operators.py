@@ -104,6 +104,13 @@ def test_id_files_come_back(spark, shard_bytes):
     assert token_ids.lookup(strangers, files).count() == token_ids.read_ids(strangers, files).count() == 0
 
 
+def test_shards_stay_small(spark):
+    # a file is one value of a row in the reader, so that its size is held several times over
+    docs = spark.range(6).selectExpr("id as doc_id", "repeat('one two ', 250000) as text")
+    files = token_ids.write_ids(docs, VOCABULARY)
+    assert files.shards == 2 and token_ids.read_ids(docs, files).count() == 6
+
+
 def test_repeated_keys_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "c")], "doc_id long, text string")
     files = token_ids.write_ids(docs, VOCABULARY)
