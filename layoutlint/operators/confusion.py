@@ -54,13 +54,17 @@ def bigrams(chars: DataFrame) -> DataFrame:
     return both.groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def candidates(items: DataFrame, allowed: DataFrame) -> DataFrame:
+def candidates(items: DataFrame, allowed: DataFrame, *, rivals_only: bool = False) -> DataFrame:
     """Characters with look-alikes that the document's own bigrams do not confirm, with the rival that they speak for.
 
     A character is confirmed if a bigram of its has ``WHITELIST_COUNT`` occurrences and no look-alike occurs beside the same neighbours. A rival
     has ``RIVAL_COUNT`` occurrences and ``RIVAL_FACTOR`` times those of the character itself; the side before comes first.
+
+    With ``rivals_only`` the rows without a rival are left out. A rival and a bigram need an ideograph beside the character, so that only
+    characters that have one are looked at, and texts without any are not cut up.
     """
-    chars = characters(units(items))
+    texts = units(items)
+    chars = characters(texts.where(F.col("s").rlike(HANZI))).where("prev is not null or next is not null") if rivals_only else characters(texts)
     grams = bigrams(chars)
     place = ["doc_id", "ord", "field", "part", "offset"]
     near = chars.join(F.broadcast(allowed.select(F.col("before").alias("ch")).distinct()), "ch")
@@ -74,7 +78,8 @@ def candidates(items: DataFrame, allowed: DataFrame) -> DataFrame:
     seen = F.max(F.greatest("alt_l", "alt_r"))
     found = alt.groupBy(*place, "ch", "own_l", "own_r").agg(seen.alias("seen"), best.alias("best"), F.array_join(F.array_sort(F.collect_set("after")), "").alias("alternatives"))
     confirmed = (F.greatest("own_l", "own_r") >= WHITELIST_COUNT) & (F.col("seen") == 0)
-    return found.where(~confirmed).select(*place, "ch", "alternatives", F.col("best.after").alias("rival"))
+    found = found.where(~confirmed).select(*place, "ch", "alternatives", F.col("best.after").alias("rival"))
+    return found.where("rival is not null") if rivals_only else found
 
 
 def latin_tokens(s: Column) -> Column:
@@ -106,6 +111,7 @@ def density_gate(proposals: DataFrame, items: DataFrame) -> DataFrame:
 
     A unit takes two, or 3 % of its characters if that is more, and a table four, or 2 %.
     """
+    items = items.join(proposals.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_semi")
     size = units(items).withColumn("size", t.non_ws_len(F.col("s"))).select("doc_id", "ord", "field", "part", "size")
     unit = proposals.groupBy("doc_id", "ord", "field", "part").agg(F.count(F.lit(1)).alias("n")).join(size, ["doc_id", "ord", "field", "part"])
     unit = unit.select("doc_id", "ord", "field", "part", (F.col("n") <= F.greatest(F.lit(2), F.floor(F.col("size") * 3 / 100))).alias("unit_ok"))

@@ -80,6 +80,8 @@ def test_confusion_candidates(spark):
     assert got[5, "text", 0, 3] == ("未", "末", "末")
     assert got[0, "text", 0, 3] == ("末", "未", None)
     assert (6, "text", 0, 1) in got and not [k for k in got if k[1] == "list_items"]
+    only = confusion.candidates(items, confusion.pairs(spark), rivals_only=True).collect()
+    assert [(r["ord"], r["offset"], r["ch"], r["alternatives"], r["rival"]) for r in only] == [(5, 3, "未", "末", "末")]
     with pytest.raises(ValueError):
         confusion.pairs(spark, ["aa"])
 
