@@ -14,6 +14,9 @@ WINDOW = 4
 #: Text for a range of keys, about, and the most ranges, whose bounds are part of the plan.
 RANGE_BYTES, MOST_RANGES = 64 << 20, 10_000
 _POSITIONS = (1 << 31) - 1
+_HASH_BITS = ((1 << 32) - 1) << 31
+#: Grams of a stretch of text.
+STRETCH = 32
 
 
 def _let(value: Column, use) -> Column:
@@ -21,53 +24,47 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _runs(values: Column, n: int, join) -> Column:
-    """``join`` over the ``n`` values from each place on, as far as there are any, by doubling; it may see a value twice."""
-
-    def longer(step: int):
-        return lambda x: F.transform(x, lambda v, i: join(v, F.get(x, i + step)))
-
-    size = 1
-    while size < n:
-        step = min(size, n - size)
-        values = _let(values, longer(step))
-        size += step
-    return values
-
-
 def _grams(text: Column, k: int) -> Column:
     """Hashes of the runs of ``k`` characters, 32 bits, each above its position counted down from the last possible one.
 
-    Hashes of longer runs are put together from those of shorter ones, by doubling: about log2(k) steps for a position, each on all
-    positions at once, where a rolling hash takes one step but a loop over positions, which SQL functions cannot keep in arrays.
+    The text is cut into stretches, each with ``k - 1`` characters of the next, and each run is taken out of its stretch and hashed: one
+    step of a loop for a position, where the stretch bounds the way to it. A rolling hash would carry a value from step to step, which
+    SQL functions cannot do while they fill an array.
 
     So the least of several is the one of the least hash and, among equal hashes, of the rightmost position.
     """
+    places = F.array(*[F.lit(i) for i in range(1, STRETCH + 1)])
 
     def of(normal: Column) -> Column:
         # a text of fewer than k characters is one gram, also if it has none
-        whole = F.array(F.xxhash64(normal), *[F.lit(0).cast("long")] * (k - 1))
-        filled = F.when(F.length(normal) >= k, F.transform(F.split(normal, ""), lambda c: F.xxhash64(c))).otherwise(whole)
-        return _let(
-            _runs(filled, k, lambda a, b: F.xxhash64(a, b)),
-            lambda h: F.transform(
-                F.slice(h, 1, F.size(h) - (k - 1)),
-                lambda v, i: F.shiftleft(F.shiftrightunsigned(v, 32), 31).bitwiseOR(F.lit(_POSITIONS) - i),
-            ),
-        )
+        whole = F.array(_packed(F.xxhash64(normal), F.lit(_POSITIONS)))
+        stretches = F.regexp_extract_all(normal, F.lit(rf"(?s)(?=(.{{{k},{STRETCH + k - 1}}})).{{1,{STRETCH}}}"), F.lit(1))
+
+        def grams(s: Column, j: Column) -> Column:
+            n = F.length(s) - (k - 1)
+            some = F.when(n == STRETCH, places).otherwise(F.slice(places, 1, n))
+            return _let(F.lit(_POSITIONS + 1) - j * STRETCH, lambda last: F.transform(some, lambda i: _packed(F.xxhash64(F.substring(s, i, F.lit(k))), last - i)))
+
+        return F.when(F.length(normal) >= k, F.flatten(F.transform(stretches, grams))).otherwise(whole)
 
     return _let(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), of)
 
 
+def _packed(value: Column, place: Column) -> Column:
+    """32 bits of a hash above a place of 31 bits."""
+    return value.bitwiseAND(F.lit(_HASH_BITS)).bitwiseOR(place)
+
+
 def _minima(grams: Column, w: int) -> Column:
-    """The least value of each window of ``w`` grams, each once; fewer grams are one window."""
-    least = _runs(grams, w, lambda a, b: F.least(a, b))
-    return F.array_distinct(F.slice(least, 1, F.greatest(F.size(grams) - (w - 1), F.lit(1))))
+    """The least value of each window of ``w`` grams; fewer grams are one window."""
+    least = lambda v, i: F.least(v, *[F.get(grams, i + q) for q in range(1, w)]) if w > 1 else v
+    return F.transform(F.slice(grams, 1, F.greatest(F.size(grams) - (w - 1), F.lit(1))), least)
 
 
 def selected(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """The selected grams of a text in order of position; see :func:`hashes` and :func:`positions`."""
-    return F.element_at(F.transform(F.array(_grams(F.coalesce(text, F.lit("")), k)), lambda g: _minima(g, w)), 1)
+    """The selected grams of a text, each once, in order of position; see :func:`hashes` and :func:`positions`."""
+    # not within the loops, where it would be interpreted
+    return F.array_distinct(_let(_grams(F.coalesce(text, F.lit("")), k), lambda g: _minima(g, w)))
 
 
 def hashes(chosen: Column) -> Column:
@@ -140,8 +137,8 @@ def with_next(
     rows = ranged.unionByName(sentinel, allowMissingColumns=True)
     added: list[str] = []
     if derive:
-        # dealt out before, so that derived columns do not go through the shuffle
-        rows = rows.repartition(part)
+        # dealt out before, so that derived columns do not go through the shuffle; by number, since hashes put several ranges into one task
+        rows = rows.repartitionById(parts, part)
         before, rows = rows.columns, derive(rows)
         added = [c for c in rows.columns if c not in before]
     order = f"over (partition by {part} order by {end}, `{key_col}` nulls first, {tie})"

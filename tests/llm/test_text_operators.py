@@ -334,6 +334,20 @@ def test_winnowing(spark):
     assert winnowing.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_grams_of_stretches(spark):
+    rng = random.Random(10)
+    k, one = winnowing.GRAM, winnowing.STRETCH
+    sizes = [0, 1, k - 1, k, k + 1, *(m + d for m in (one, 2 * one, 40 * one) for d in range(-1, k + 2))]
+    texts = ["".join(rng.choices("abé中😀", k=n)) for n in sizes]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select("text", winnowing._grams(F.col("text"), k).alias("g"))
+    seen = {}
+    for text, got in docs.collect():
+        runs = [text[i : i + k] for i in range(max(1, len(text) - k + 1))]
+        assert [winnowing._POSITIONS - (g & winnowing._POSITIONS) for g in got] == list(range(len(runs)))
+        assert all(seen.setdefault(run, g >> 31) == g >> 31 >= 0 for run, g in zip(runs, got, strict=True))
+    assert len({*seen.values()}) == len(seen)
+
+
 def test_shared_passages_share_a_fingerprint(spark):
     rng = random.Random(7)
     word = lambda: "".join(rng.choices("abcdefgh", k=3))
@@ -376,6 +390,13 @@ def test_next_row(spark, parts):
     assert winnowing.with_next(docs.limit(0), "doc_id", ["text"], parts=parts).count() == 0
 
 
+def test_each_range_of_keys_is_a_task(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "string(id) as text")
+    out = winnowing.with_next(docs, "doc_id", ["text"], derive=lambda d: d.withColumn("task", F.spark_partition_id()), parts=8)
+    assert {r["task"] for r in out.select("task").distinct().collect()} == {*range(8)}
+    assert out.where("next_text <> string((doc_id + 1) % 400)").count() == 0
+
+
 def test_quotes(spark):
     ask = "How do I sort a very large file on disk?\n\nIt has many lines, more than memory holds."
     reply = "On Monday Ann wrote:\n> How do I sort a very\n> large file on disk?\nUse an external merge sort, in two passes.\n\n> It has many lines, more than memory holds.\nThat is fine for it."
