@@ -349,7 +349,8 @@ class Encoder:
         new = list(found.difference(known))
         self.young -= found
         if new:
-            known.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+            # no blank is in front where a line feed begins a piece, which is so in token_ids only
+            known.update(zip(new, self._ids([x if x[:1] == "\n" else " " + x for x in new]), strict=True))
             self.young.update(new)
             self.used += sum(map(len, new)) + _ENTRY_BYTES * len(new)
 

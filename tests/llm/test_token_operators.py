@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
@@ -131,6 +133,30 @@ def test_many_places_are_joined(spark, monkeypatch):
     assert sorted(token_ids.read_ids(docs, files).collect()) == wanted
 
 
+def test_library_ids_of_whole_batches():
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace() and c != 10]
+    known = re.sub(r"x\{(.*?)\}", lambda m: "u" + m[1].zfill(4), token_ids._SPACE)
+    assert re.fullmatch(f"[{known}]+", "".join(spaces))
+    rng = random.Random(5)
+    bits = [*"ab .,'!\n\t", " ", "\n", "\n\n", "  ", "\u00a0", "\u2003", "\x1c", "\u180e", "don't", "l\u2019\u00e9t\u00e9", "\u00e9.", "\u6587", "\u00bd", "12,", "\u0378.", "!" * 20, "\U0001f600", "\u0301", "_", "<|endoftext|>"]
+    texts = [None, "", " ", "\n", "\n\n", "a\n", "a\n\n", "a\n\n\nb", "\na", " a", "a \nb", "a\n b", "a\t\nb", *("".join(rng.choices(bits, k=rng.randrange(1, 30))) for _ in range(4000))]
+    for plain in (False, True):
+        encoder = token_ids.LibraryEncoder(VOCABULARY, "<u2", plain)
+        for some in (texts[:7], texts, texts[2000:]):
+            want = [np.array(x.ids, "<u2").tobytes() for x in encoder.model.encode_batch_fast([x or "" for x in some], add_special_tokens=False)]
+            assert encoder.encode(pa.array([None, *some], pa.string()).slice(1)).to_pylist() == want
+    assert encoder.encode(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_words_go_to_the_library_once(monkeypatch):
+    encoder = token_ids.LibraryEncoder(VOCABULARY, "<u2")
+    sent, library = [], encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda texts: sent.extend(texts) or library(texts))
+    encoder.encode(pa.array(["so Wort, Wort. Wort!!\nZeile Wort\nZeile; Wort"]))
+    encoder.encode(pa.array(["so Wort.\nZeile, Wort"]))
+    assert "".join(sent).count("Wort") == 1 and "".join(sent).count("Zeile") == 1
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 1000, 20_000):
